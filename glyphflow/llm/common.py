@@ -144,6 +144,17 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def groups(texts: list, limit: int = 4 << 20) -> list[slice]:
+    """Consecutive texts of at most limit bytes together (a longer one alone): bounds the arrays made from them."""
+    out, begin, size = [], 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            out.append(slice(begin, k))
+            begin, size = k, 0
+        size += len(t) + 1
+    return [*out, slice(begin, len(texts))] if texts else []
+
+
 def digest_hex(text: bytes) -> str:
     from hashlib import sha256
 
