@@ -93,14 +93,10 @@ def _hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes], white: np.ndarray = _WHITE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and the number of words of each.
-
-    white marks the bytes between words (ASCII white space by default; it has to
-    include the line feed); fold maps bytes before they are hashed.
-    """
+def word_spans(texts: list[bytes], white: np.ndarray = _WHITE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and where they begin and end in the texts joined by line feeds."""
     buf = b"\n".join(texts) + b"\n"
-    at, found, where = 0, [], []
+    at, found = 0, []
     while at < len(buf):
         to = min(len(buf), at + CHUNK)
         if to < len(buf):
@@ -110,13 +106,21 @@ def word_hashes(texts: list[bytes], white: np.ndarray = _WHITE, fold: np.ndarray
         inside = ~white[data]
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
-        found.append(_hash_runs(data if fold is None else fold[data], starts, ends))
-        where.append(starts + at)
+        found.append((_hash_runs(data if fold is None else fold[data], starts, ends), starts + at, ends + at))
         at = to
-    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    begins = np.concatenate(where) if where else np.zeros(0, np.int64)
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, starts, ends
+
+
+def word_hashes(texts: list[bytes], white: np.ndarray = _WHITE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and the number of words of each.
+
+    white marks the bytes between words (ASCII white space by default; it has to
+    include the line feed); fold maps bytes before they are hashed.
+    """
+    hashes, starts, _ = word_spans(texts, white, fold)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    first = np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)]))
+    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
     return hashes, np.diff(first)
 
 
