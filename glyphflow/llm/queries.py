@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, pii, quality_cnn, token_counts
+from . import bpe, common, decontaminate, pii, quality_cnn, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), common.scratch(spark, "token-cache"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_passages(table(spark, sf_dir, "documents"), keep_text=False).drop("longest_run")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,6 +43,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
@@ -73,4 +78,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hits USING (k) LEFT JOIN items USING (k)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT k, doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least_of AS (SELECT win, min(doc_id) AS m FROM win GROUP BY win),
+gone AS (SELECT DISTINCT k, unnest(range(i, i + 13)) AS p FROM win JOIN least_of USING (win) WHERE m < doc_id),
+words AS (SELECT k, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (k, p) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL}
