@@ -168,6 +168,7 @@ def _unpack(b: pa.RecordBatch, part: slice | None = None) -> tuple[np.ndarray, n
 def _second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor()
     for b in batches:
+        b = b.filter(b.column("at").is_valid())
         ids, tags = b.column("doc_id").to_numpy(), b.column("tag").to_numpy().astype(np.int64)
         texts = [unzip.decompress(z) if z else b"" for z in b.column("z").to_pylist()]
         for part in common.groups(texts):
@@ -194,7 +195,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.mapInArrow(_pack, "doc_id long, tag int, z binary")
     halves = _level(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(_first_level, _ROWS), True)
     key = ["doc_id", "tag"]
-    found = _level(texts.join(halves.hint("merge"), key).select(*key, "z", "at").mapInArrow(_second_level, _ROWS), False)
+    # an outer join, so that the shuffle of the texts is the same as below and done once
+    found = _level(texts.join(halves.hint("merge"), key, "left").select(*key, "z", "at").mapInArrow(_second_level, _ROWS), False)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
