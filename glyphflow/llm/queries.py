@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, pii, quality_cnn, substring_dedup, token_counts
+from . import bpe, common, decontaminate, pii, quality_cnn, secret_scan, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository, its source for the owner."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), repo_col="doc_id", owner_col="source")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
+    "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 
@@ -89,4 +95,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (k)
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL}
+#: RE2 folds case beyond ASCII, so the keywords' letters are written out.
+_WORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_PATTERNS = (
+    (0, "assign", f"""(?:{_WORD})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", "len(v) >= 8"),
+    (1, "access", "(AKIA[A-Z0-9]+)", "len(v) >= 16"),
+    (2, "hex", "([0-9a-f]+)", "len(v) >= 32"),
+    (3, "opaque", "([A-Za-z0-9+/_-]+)", "len(v) >= 24 AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9].*[0-9]')"),
+)
+
+
+def _kind_sql(number: int, name: str, pattern: str, good: str) -> str:
+    quoted = f"(?s)(.*?)({pattern}|\\z)".replace("'", "''")
+    return f"""
+    SELECT k, {number} AS kind, '{name}' AS name, stop - len(m) AS start, stop, v
+    FROM (SELECT k, i, m, v, sum(len(g) + len(m)) OVER (PARTITION BY k ORDER BY i) AS stop
+        FROM (SELECT k, unnest(range(1, len(gs) + 1)) AS i, unnest(gs) AS g, unnest(ms) AS m, unnest(vs) AS v
+            FROM (SELECT k, regexp_extract_all(t, '{quoted}', 1) AS gs, regexp_extract_all(t, '{quoted}', 2) AS ms, regexp_extract_all(t, '{quoted}', 3) AS vs FROM d)))
+    WHERE len(m) > 0 AND {good}"""
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_kind_sql(*p) for p in _PATTERNS)}),
+owned AS (SELECT v, count(DISTINCT source) AS owners FROM found JOIN d USING (k) GROUP BY v),
+judged AS (SELECT k, kind, name || ':' || start || ':' || stop AS span, start, owners < 2 AS live FROM found JOIN owned USING (v)),
+one AS (
+    SELECT k, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, count(*) FILTER (live) AS l, count(*) FILTER (NOT live) AS n,
+        string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans
+    FROM judged GROUP BY k)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(l, 0) AS n_live, coalesce(n, 0) AS n_copied
+FROM d LEFT JOIN one USING (k)
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op9_secrets": OP9_SQL}
