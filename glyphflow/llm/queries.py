@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, pii, quality_cnn, secret_scan, substring_dedup, token_counts
+from . import bpe, common, decontaminate, ngram_join, pii, quality_cnn, secret_scan, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stands for a repository, its source for the owner."""
     return secret_scan.scan(table(spark, sf_dir, "documents"), repo_col="doc_id", owner_col="source")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
+    "op8_ngram_join": op8_ngram_join,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
