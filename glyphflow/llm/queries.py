@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, html_extract, ngram_join, pii, quality_cnn, secret_scan, substring_dedup, token_counts
+from . import audio, bpe, common, decontaminate, html_extract, ngram_join, pii, quality_cnn, secret_scan, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has media, so every embedding is played as a melody: one recording a row."""
+    return audio.self_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.render)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
+    "op7_audio": op7_audio,
     "op8_ngram_join": op8_ngram_join,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
