@@ -234,6 +234,10 @@ def render(vector: list[float]) -> np.ndarray:
 
 
 def self_search(media: DataFrame, id_col: str, media_col: str, decode: Callable[[object], np.ndarray] = wav_samples, every: int = 20) -> DataFrame:
-    """Matches of every row whose id is divisible by every, against all rows."""
+    """Every row against the rows whose id is divisible by every: id, n_ints and ints_sha256 (of the
+    decimal integers, comma-joined), and the queries it matches, a row each (nulls: none)."""
     prints = common.cut(fingerprints(media, id_col, media_col, decode))
-    return search(prints, prints.filter(F.col("id") % every == 0))
+    found = search(prints, prints.filter(F.col("id") % every == 0)).distinct()
+    digest = F.sha2(F.array_join(F.col("ints").cast("array<string>"), ","), 256).alias("ints_sha256")
+    rows = prints.select("id", F.size("ints").cast("long").alias("n_ints"), digest)
+    return rows.join(found.withColumnRenamed("match_id", "id"), "id", "left")

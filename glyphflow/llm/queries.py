@@ -38,7 +38,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has media, so every embedding is played as a melody: one recording a row."""
-    return audio.self_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.render)
+    return audio.self_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.render).withColumnRenamed("id", "vec_id")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
