@@ -36,7 +36,9 @@ def train(texts: DataFrame, language_col: str, text_col: str = "text") -> Langua
     """Counts trigrams in Catalyst; only TOP a language come to the driver."""
     letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text_col), r"[^\p{L}]+", " "), F.lit(" "))
     rows = texts.filter(F.col(language_col).isNotNull()).select(F.col(language_col).alias("lang"), letters.alias("t")).filter(F.char_length("t") >= 3)
-    grams = rows.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))).alias("g")).groupBy("lang", "g").count()
+    chars = rows.select("lang", F.split("t", "").alias("c")).filter(F.size("c") >= 3)  # by place in constant time
+    three = F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
+    grams = chars.select("lang", F.explode(three).alias("g")).groupBy("lang", "g").count()
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "g")
     top = grams.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < TOP).collect()
     profiles: dict[str, dict[str, int]] = {}
