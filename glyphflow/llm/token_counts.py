@@ -137,13 +137,13 @@ def encode_misses(docs: DataFrame, cached: DataFrame, model: str, version: str)
     key = F.struct(null.alias("none"), F.when(null, F.lit(0)).otherwise(F.col("doc_id")).alias("id"))
     first = keyed.groupBy("digest").agg(F.min(key).alias("key"))
     misses = first.join(cached, "digest", "left_anti")
-    texts = docs.withColumn("key", key).select("key", "digest", "text").join(misses, ["key", "digest"], "left_semi")
+    texts = docs.withColumn("key", key).select("key", "digest", "text").join(misses.hint("merge"), ["key", "digest"], "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, last = _counter(model), set()
         for b in batches:
             digests, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            # rows of one key and digest are in one task: the join's partitioning
+            # repeated rows follow each other: the merge join has sorted them by key and digest
             new = dict(zip(digests, texts, strict=True))
             new = {d: t for d, t in new.items() if d not in last}
             last = set(digests[-1:]) | set(new)
@@ -160,5 +160,6 @@ def count_tokens(docs: DataFrame, model: str, cache: str, id_col: str = "doc_id"
     keyed = with_digest(docs, id_col, text_col)
     encode_misses(keyed, read_cache(spark, cache, version), model, version).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, version)
-    rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest", F.xxhash64("digest").alias("h"))
+    # the counts are grouped by digest; with a second key both sides are shuffled for the join, and AQE can split a hot digest
+    return rows.join(counts.withColumn("h", F.xxhash64("digest")), ["digest", "h"], "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
