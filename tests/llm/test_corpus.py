@@ -53,7 +53,7 @@ def rows() -> list[tuple]:
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     frame = spark.createDataFrame([(i, t, *["clash"] * len(EXTRA)) for i, t in rows], f"doc_id long, text string, {', '.join(f'{c} string' for c in EXTRA)}")
-    return frame.withColumn("source", F.concat(F.lit("s"), F.pmod("doc_id", F.lit(5)))).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("lang", F.lit(None).cast("string")).repartition(5).localCheckpoint()
+    return frame.withColumn("source", F.concat(F.lit("s"), F.pmod("doc_id", F.lit(5)))).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("lang", F.lit(None).cast("string")).repartition(5).cache()
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +97,8 @@ def test_counts_by_both_libraries():
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert token_counts.PieceCounter(public_tokenizers.path("piece_bpe_32k.model"))(texts) == [len(x) for x in sp.encode(texts)]
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert token_counts.PieceCounter(path)(texts) == [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    tok = Tokenizer.from_file(path)
+    assert token_counts.PieceCounter(path)(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 # -- 2
