@@ -70,13 +70,20 @@ def split_arabic_article(part: Column | str) -> Column:
 
 
 def detect_script(text: Column | str) -> Column:
-    """The script with most characters; ties go to the script named first."""
+    """The script with most characters; ties go to the script named first.
+
+    Latin is counted by what its removal takes away; the other scripts are counted in
+    what is left beyond U+024F, which is nothing in most Latin text.
+    """
     text = _col(text)
-    counts = []
+    rest = F.regexp_replace(text, r"[\x00-\x{24F}]+", "")
+    latin = tables.char_class(tables.exclusive_ranges("Latin"))
+    counts = [F.struct((F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{latin}]+", ""))).alias("n"), F.lit(0).alias("k"), F.lit("Latin").alias("name"))]
     for k, s in enumerate(tables.SCRIPT_RANGES):
-        c = tables.char_class(tables.exclusive_ranges(s))
-        counts.append(F.struct(F.char_length(F.regexp_replace(text, f"[^{c}]", "")).alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("name")))
-    best = F.array_max(F.array(*counts))
+        if s != "Latin":
+            n = F.char_length(rest) - F.char_length(F.regexp_replace(rest, f"[{tables.char_class(tables.exclusive_ranges(s))}]+", ""))
+            counts.append(F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("name")))
+    best = F.when(F.char_length(rest) == 0, counts[0]).otherwise(F.array_max(F.array(*counts)))
     return F.when(best["n"] > 0, best["name"]).otherwise(F.when(text.isNotNull(), F.lit("Other")))
 
 
