@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,11 @@ def _class(ranges: tables.Ranges) -> str:
     return f"[{tables.char_class(ranges)}]"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # -- grouping and splitting
 
 
@@ -73,18 +78,26 @@ def detect_script(text: Column | str) -> Column:
     """The script with most characters; ties go to the script named first.
 
     Latin is counted by what its removal takes away; the other scripts are counted in
-    what is left beyond U+024F, which is nothing in most Latin text.
+    what is left beyond U+024F, which is nothing in most Latin text, and there only
+    those of which a character occurs.
     """
-    text = _col(text)
-    rest = F.regexp_replace(text, r"[\x00-\x{24F}]+", "")
     latin = tables.char_class(tables.exclusive_ranges("Latin"))
-    counts = [F.struct((F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{latin}]+", ""))).alias("n"), F.lit(0).alias("k"), F.lit("Latin").alias("name"))]
-    for k, s in enumerate(tables.SCRIPT_RANGES):
-        if s != "Latin":
-            n = F.char_length(rest) - F.char_length(F.regexp_replace(rest, f"[{tables.char_class(tables.exclusive_ranges(s))}]+", ""))
-            counts.append(F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("name")))
-    best = F.when(F.char_length(rest) == 0, counts[0]).otherwise(F.array_max(F.array(*counts)))
-    return F.when(best["n"] > 0, best["name"]).otherwise(F.when(text.isNotNull(), F.lit("Other")))
+
+    def best(t: Column, rest: Column, seen: Column) -> Column:
+        counts = [F.struct((F.char_length(t) - F.char_length(F.regexp_replace(t, f"[{latin}]+", ""))).alias("n"), F.lit(0).alias("k"), F.lit("Latin").alias("name"))]
+        for k, s in enumerate(tables.SCRIPT_RANGES):
+            if s != "Latin":
+                c = tables.char_class(tables.exclusive_ranges(s))
+                n = F.when(seen.rlike(f"[{c}]"), F.char_length(rest) - F.char_length(F.regexp_replace(rest, f"[{c}]+", ""))).otherwise(0)
+                counts.append(F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("name")))
+        return F.array_max(F.array(*counts))
+
+    def named(t: Column) -> Column:
+        rest = F.regexp_replace(t, r"[\x00-\x{24F}]+", "")
+        found = _let(rest, lambda r: _let(F.array_join(F.array_distinct(F.split(r, "")), ""), lambda seen: best(t, r, seen)))
+        return _let(found, lambda b: F.when(b["n"] > 0, b["name"]).when(t.isNotNull(), F.lit("Other")))
+
+    return _let(_col(text), named)
 
 
 def language_from_code(code: Column | str) -> Column:
