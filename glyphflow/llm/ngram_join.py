@@ -316,9 +316,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = final.join(sizes.select("key", "first"), "key")
     named = named.join(named.groupBy("label").agg(F.min("first").alias("class_id")), "label").select("key", "class_id")
     facts = sizes.join(counts, "key", "left").join(named, "key", "left").select("key", "copies", "texts", "classes", F.coalesce("class_id", "first").alias("class_id"))
+    # the facts are grouped by key; with a second key both sides are shuffled for the join, and AQE can split a hot class
+    facts, members = facts.withColumn("h", F.xxhash64("key")), members.withColumn("h", F.xxhash64("key"))
     known, rest = members.filter(usable), members.filter(~usable)
     none = F.lit(0).cast("long")
-    out = known.join(facts, "key").select("doc_id", "class_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.coalesce("texts", none)).alias("n_links"), F.coalesce("classes", none).alias("n_similar"))
+    out = known.join(facts, ["key", "h"]).select("doc_id", "class_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.coalesce("texts", none)).alias("n_links"), F.coalesce("classes", none).alias("n_similar"))
     return out.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_copies"), none.alias("n_links"), none.alias("n_similar")))
 
 
