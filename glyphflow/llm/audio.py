@@ -6,9 +6,9 @@ over rectangles of the pitch-class image, are read off its integral image at eve
 frame; each answer is quantised to four levels, written as two bits of Gray code,
 and the sixteen make one packed 32-bit integer a frame.
 
-Two recordings are aligned by the histogram of the offsets at which the first KEY
-bits of their integers agree; at the best offsets the bits are compared over the
-overlap.  A match has at most MAX_ERROR of the bits wrong over MIN_OVERLAP frames.
+Two recordings are aligned by the histogram of the offsets at which the first or the
+last KEY bits of their integers agree; at every offset with VOTES agreements all bits
+are compared over the overlap.  A match has at most MAX_ERROR of the bits wrong over MIN_OVERLAP frames.
 
 Search: the queries go out in blocks of BLOCK recordings (about 1 MB), each with an
 index from key bits to places; all fingerprints, kept once in the shared folder,
@@ -41,7 +41,8 @@ from . import common
 RATE, FRAME, HOP = 4096, 1024, 256
 LOWEST = 110.0
 SPAN = 16
-KEY, MIN_OVERLAP, MAX_ERROR, BEST = 16, 24, 0.2, 3
+KEY, VOTES, MIN_OVERLAP, MAX_ERROR = 16, 2, 24, 0.2
+_LOW = np.uint32((1 << KEY) - 1)
 BLOCK = 4096
 
 _SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -139,43 +140,48 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable
 
 
 class Index:
-    """Places of the key bits of a block of queries."""
+    """Places of the two halves (KEY bits each) of the integers of a block of queries."""
 
     def __init__(self, ids: list[int], prints: list[np.ndarray]) -> None:
-        self.ids, self.prints = np.array(ids, np.int64), prints
-        key = np.concatenate([p >> np.uint32(32 - KEY) for p in prints] or [np.zeros(0, np.uint32)])
-        who = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-        at = np.concatenate([np.arange(len(p)) for p in prints] or [np.zeros(0, int)])
+        self.ids = np.array(ids, np.int64)
+        self.ints = np.concatenate([*prints, np.zeros(0, np.uint32)])
+        self.length = np.array([len(p) for p in prints], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        who = np.repeat(np.arange(len(prints)), self.length)
+        at = np.arange(len(self.ints)) - self.begin[who] if len(who) else np.zeros(0, np.int64)
+        key = np.concatenate([self.ints >> np.uint32(KEY), (self.ints & _LOW) + np.uint32(1 << KEY)])
         order = np.argsort(key, kind="stable")
-        self.key, self.who, self.at = key[order], who[order], at[order]
-        self.first = np.searchsorted(self.key, np.arange((1 << KEY) + 1))
+        self.who, self.at = np.tile(who, 2)[order], np.tile(at, 2)[order]
+        self.first = np.searchsorted(key[order], np.arange((2 << KEY) + 1))
 
     def matches(self, ints: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(query number, offset, wrong bits, frames compared) of the queries that match."""
-        key = ints >> np.uint32(32 - KEY)
+        key = np.concatenate([ints >> np.uint32(KEY), (ints & _LOW) + np.uint32(1 << KEY)])
         lo = self.first[key]
         many = self.first[key + np.uint32(1)] - lo
         if not many.sum():
             return []
         entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        offset = np.repeat(np.arange(len(ints)), many) - self.at[entry]
+        offset = np.repeat(np.tile(np.arange(len(ints)), 2), many) - self.at[entry]
         wide = np.int64(1 << 32)
         cell, votes = np.unique(self.who[entry] * wide + offset + (wide >> 1), return_counts=True)
+        cell = cell[votes >= VOTES]
         who, shift = cell // wide, cell % wide - (wide >> 1)
-        order = np.lexsort((np.abs(shift), -votes, who))  # a query's best offsets first
-        who, shift = who[order], shift[order]
-        begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-        rank = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
+        begin, end = np.maximum(0, shift), np.minimum(len(ints), self.length[who] + shift)
+        n = end - begin
+        long = n >= MIN_OVERLAP
+        who, shift, begin, n = who[long], shift[long], begin[long], n[long]
+        if not len(who):
+            return []
+        row = np.repeat(np.arange(len(who)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        mine = begin[row] + step
+        wrong = np.add.reduceat(np.bitwise_count(ints[mine] ^ self.ints[self.begin[who][row] + mine - shift[row]]).astype(np.int64), np.cumsum(n) - n)
+        good = np.flatnonzero(wrong <= MAX_ERROR * 32 * n)
         best: dict[int, tuple[int, int, int]] = {}
-        for q, s in zip(who[rank < BEST].tolist(), shift[rank < BEST].tolist(), strict=True):
-            other = self.prints[q]
-            a, b = max(0, s), min(len(ints), len(other) + s)
-            n = b - a
-            if n < MIN_OVERLAP:
-                continue
-            wrong = int(np.bitwise_count(ints[a:b] ^ other[a - s : b - s]).sum())
-            if wrong <= MAX_ERROR * 32 * n and (q not in best or wrong * best[q][2] < best[q][1] * n):
-                best[q] = s, wrong, n
+        for q, s, w, k in zip(who[good].tolist(), shift[good].tolist(), wrong[good].tolist(), n[good].tolist(), strict=True):
+            if q not in best or w * best[q][2] < best[q][1] * k:
+                best[q] = s, w, k
         return [(q, *v) for q, v in sorted(best.items())]
 
 
