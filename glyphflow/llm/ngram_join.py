@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join by MinHash prefixes of one depth (LSH banding), verified exactly.
 
 A text is the set of its runs of five words (a text of one to four words is one
 run).  Texts with equal sets form one class from the start.  Each class gets a
-signature of minimum hashes; each of TREES trees orders a choice of them, and the
-tree's prefix trie is its sorted list of such sequences, kept in sorted tasks.  Matched prefixes are
-shortened step by step from DEEPEST until the recall expected at the threshold,
-for the trees taken together, reaches the target; classes that share a prefix of
-that length in a tree are linked to the smallest of them.  What is linked, also by
-way of others, makes a candidate group.
+signature of minimum hashes; each of TREES trees has hashes of its own, which no
+other tree reads.  All trees are read to one depth, the longest at which the recall
+expected at the threshold, for the trees taken together, reaches the target: a pair
+that shares a longer prefix shares this one too, so no level below it is kept.
+Classes that share the prefix in a tree are linked to the smallest of them.  What is
+linked, also by way of others, makes a candidate group.  Links move as stars: one a class and batch.
 
 Within a candidate group the sets meet, and every pair of them is compared exactly:
 in tiles of TILE by TILE sets, so that a group of any size is many small tasks.
@@ -21,9 +21,9 @@ candidate groups' rows, and those of candidate groups once more, to their tiles.
 each round cut by a checkpoint in the shared folder; nothing but a count of changed
 labels reaches the driver.
 
-Recall: at similarity THRESHOLD the forest finds a pair with probability
-1 - (1 - THRESHOLD ** depth) ** TREES >= TARGET, more above; candidate groups add to
-that.  No link found is wrong.
+Recall: at similarity THRESHOLD the trees find a pair with probability
+1 - (1 - THRESHOLD ** depth) ** TREES >= TARGET, as their hashes are independent, and
+more above; candidate groups add to that.  No link found is wrong.
 
 Edge cases: null and empty texts have no runs, no links and a class of their own;
 rows with a null id pass as classes of their own with no links; repeated rows (same
@@ -45,12 +45,14 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE, THRESHOLD = 5, 0.8
-HASHES, TREES, DEEPEST, TARGET = 128, 40, 16, 0.995
+TREES, DEEPEST, TARGET = 40, 16, 0.995
+#: Each level of each tree has a hash of its own; as many are made as the depth needs.
+HASHES = TREES * DEEPEST
 TILE = 512
 
 _rng = np.random.default_rng(2024)
 _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDERS = np.stack([_rng.permutation(HASHES)[:DEEPEST] for _ in range(TREES)])
+_ORDERS = np.arange(HASHES).reshape(DEEPEST, TREES).T
 
 
 def depth_for(threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET, deepest: int = DEEPEST) -> int:
@@ -71,11 +73,12 @@ def run_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(grams), 2048):
-        x = grams[i : i + 2048, None] * _MULTIPLY  # the high bits of a product with an odd number
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+def signature(grams: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The first hashes minimum hashes; a prefix of some depth needs TREES * depth."""
+    least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(grams), 128):
+        x = grams[i : i + 128, None] * _MULTIPLY[:hashes]  # the high bits of a product with an odd number decide
+        np.minimum(least, x.min(0), out=least)
     return common.mix(least)
 
 
@@ -109,8 +112,26 @@ def _shred(with_text: bool):
     return run
 
 
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """The same groups in one link a member, to the smallest of its group; pairs: n x 2."""
+    names, ends = np.unique(pairs, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    label = np.arange(len(names))
+    while len(names):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.stack([names, names[label]], 1)
+    return out[out[:, 0] != out[:, 1]]
+
+
 def _tree_rows(depth: int):
-    """prefix, key and to: of each prefix in a batch the smallest key, for the shuffle (to is null), and links to it."""
+    """prefix, key and to: of each prefix in a batch the smallest key of its group there, for the shuffle (to is null), and links to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,17 +139,21 @@ def _tree_rows(depth: int):
             for part in common.groups(texts):
                 for s in run_sets(texts[part]):
                     if len(s) and (key := set_key(s)) not in known:
-                        known[key] = prefixes(signature(s), depth)
+                        known[key] = prefixes(signature(s, TREES * depth), depth)
             keys = np.repeat(np.fromiter(known, np.int64, len(known)), TREES)
             made = np.concatenate([*known.values(), np.zeros(0, np.uint64)]).view(np.int64)
             order = np.lexsort((keys, made))
             keys, made = keys[order], made[order]
             first = np.concatenate([[True], made[1:] != made[:-1]]) if len(made) else np.zeros(0, bool)
             group = np.cumsum(first) - 1
-            pairs = np.unique(np.stack([keys[~first], keys[first][group[~first]]], 1), axis=0)
+            pairs = stars(np.stack([keys[~first], keys[first][group[~first]]], 1))
+            sent = keys[first]
+            if len(pairs):  # pairs are sorted by key
+                at = np.minimum(np.searchsorted(pairs[:, 0], sent), len(pairs) - 1)
+                sent = np.where(pairs[at, 0] == sent, pairs[at, 1], sent)
             spread = common.mix(pairs[:, 0].astype(np.uint64)).view(np.int64)
             to = pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(pairs[:, 1], pa.int64())])
-            yield pa.record_batch([pa.array(np.concatenate([made[first], spread])), pa.array(np.concatenate([keys[first], pairs[:, 0]])), to], names=["prefix", "key", "to"])
+            yield pa.record_batch([pa.array(np.concatenate([made[first], spread])), pa.array(np.concatenate([sent, pairs[:, 0]])), to], names=["prefix", "key", "to"])
 
     return run
 
@@ -149,7 +174,7 @@ def _prefix_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             pairs = np.stack([key, first[group]], 1)
             links.append(pairs[pairs[:, 0] != pairs[:, 1]])
             last, least = prefix[-1], first[-1]
-        links = np.unique(np.concatenate(links), axis=0)
+        links = stars(np.concatenate(links))
         yield pa.record_batch([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], names=["key", "to"])
 
 

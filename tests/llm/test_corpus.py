@@ -387,6 +387,28 @@ def test_forest_depth_and_recall():
     assert found >= 0.98 * 300
 
 
+def test_recall_at_the_threshold():
+    """Similarity 0.80 exactly: no hash serves two trees, and the recall promised there is measured."""
+    depth = ngram_join.depth_for()
+    used = ngram_join._ORDERS[:, :depth]
+    assert len(np.unique(used)) == used.size and used.max() < ngram_join.TREES * depth
+    rng = np.random.default_rng(5)
+    found = 0
+    for _ in range(6000):
+        grams = common.mix(rng.integers(0, 1 << 63, 270, dtype=np.uint64))
+        a, b = (ngram_join.prefixes(ngram_join.signature(g, ngram_join.TREES * depth), depth) for g in (grams[:243], grams[27:]))  # 216 / 270
+        found += bool((a == b).any())
+    assert found >= 0.995 * 6000
+
+
+def test_stars():
+    chain = np.array([(k, k + 1) for k in range(50)] + [(100, 103), (103, 101), (7, 3), (5, 5)])
+    want = {**dict.fromkeys(range(1, 51), 0), 101: 100, 103: 100}
+    got = ngram_join.stars(chain)
+    assert dict(got.tolist()) == want and len(got) == len(want)
+    assert ngram_join.stars(np.zeros((0, 2), np.int64)).shape == (0, 2)
+
+
 def test_groups_of_long_chains(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, 103), (103, 101), (7, 3)]
     got = dict(ngram_join.groups_of(spark.createDataFrame(links, "key long, to long")).collect())
