@@ -152,6 +152,37 @@ def test_html(spark):
     assert html_extract.extract(frame.filter("false")).count() == 0
 
 
+def test_html_repeats_over_large_hosts(spark):
+    """Forty notices, each on two of 4,400 pages of one host and on one page of another, against plain Python."""
+    rng = random.Random(6)
+    notices = [prose(rng, 9) for _ in range(40)]
+    pages = [(i, f"http://{'big' if i < 4400 else 'small'}/{i}", [prose(rng, 5)]) for i in range(4440)]
+    for k, notice in enumerate(notices):
+        for i in (*rng.sample(range(4400), 2), 4400 + k):
+            pages[i][2].append(notice)
+    pages[7][2].append(" ".join(["again"] * 30))  # repeats on one page alone
+    pages.append((7, "http://big/7", pages[7][2]))
+    hosts = defaultdict(lambda: defaultdict(set))
+    for i, url, found in pages:
+        words = " ".join(found).split()
+        for k in range(len(words) - 7):
+            hosts[url.split("/")[2]][tuple(words[k : k + 8])].add(i)
+    want = Counter()
+    for i, url, found in pages:
+        words, gone = " ".join(found).split(), set()
+        for k in range(len(words) - 7):
+            if len(hosts[url.split("/")[2]][tuple(words[k : k + 8])]) > 1:
+                gone.update(range(k, k + 8))
+        at, kept = 0, []
+        for block in found:
+            left = [w for k, w in enumerate(block.split(), at) if k not in gone]
+            at += len(block.split())
+            kept += [" ".join(left)] if left else []
+        want[i, url, "\n".join(kept)] += 1
+    frame = spark.createDataFrame([(i, url, "".join(f"<p>{t}</p>" for t in found)) for i, url, found in pages], "page_id long, url string, html string")
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in html_extract.extract(frame).collect()) == want
+
+
 def test_suffix_cover_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(60):
