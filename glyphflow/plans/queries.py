@@ -113,6 +113,12 @@ def script_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", G.detect_script(text).alias("script"))
 
 
+@query(f"SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'Other' {' '.join(f"WHEN n{k} = {_BEST} THEN '{s}'" for k, s in enumerate(tables.SCRIPT_RANGES))} END AS script FROM (SELECT doc_id, {_MAJORITY} FROM (SELECT doc_id, text AS t FROM documents))")
+def script_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of every document's own text."""
+    return _table(spark, sf_dir, "documents").select("doc_id", G.detect_script("text").alias("script"))
+
+
 def _marked(words: str) -> str:
     """SQL: matches and gaps by marks set around the matches."""
     return f"[x for x in string_split(regexp_replace(text, '({words})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) if x <> '']"
@@ -170,6 +176,13 @@ def arabic_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(G.split_arabic_article(word), "|").alias("parts"))
 
 
+@query("SELECT conv_id, turn, sha256(CASE WHEN strlen(w) > 4 AND regexp_matches(w, '^[اأإآٱ]ل') THEN substr(w, 1, 2) || '|' || substr(w, 3) ELSE w END) AS parts_sha256 FROM (SELECT conv_id, turn, 'ال' || text AS w FROM conversations)")
+def arabic_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article set before the text of every turn."""
+    word = F.concat(F.lit("ال"), "text")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.array_join(G.split_arabic_article(word), "|"), 256).alias("parts_sha256"))
+
+
 SAMPLES = {"thai": "ภาษาไทยง่ายนิดเดียว", "khmer": "សួស្តីពិភពលោក", "german": "Donaudampfschifffahrtsgesellschaftskapitän", "chinese": "我从2025年开始学习Rust语言。", "japanese": "関西国際空港限定トートバッグ", "korean": "한국어의형태해석을"}
 
 

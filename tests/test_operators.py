@@ -56,6 +56,16 @@ def test_columns_are_the_semantics(texts):
             assert x["original"] == row["text"][token["char_start"] : token["char_end"]] == row["text"].encode()[token["byte_start"] : token["byte_end"]].decode()
 
 
+def test_scripts_of_own_and_mixed_texts(spark, sf_dir, texts):
+    """No text is replaced: own texts, alone and with enough of another script, and mixed strings."""
+    got = {r["doc_id"]: r["script"] for r in QUERIES["script_of_text"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got == {r["doc_id"]: core.detect_script(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    mixed = [*(t for t in TEXTS if t is not None), "12 - 34", "Жжж ab", "ab 漢か漢か", "ab жя", "한국어 a", "ภาษา ab", "العربية ab"]
+    rows = spark.createDataFrame([(t,) for t in mixed], "text string").select("text", G.detect_script("text").alias("script")).collect()
+    assert [r["script"] for r in rows] == [core.detect_script(t) for t in mixed]
+
+
 def test_native_splits(texts):
     rows = texts.filter("id not in (5)").select("text", G.segment_native("text").alias("a"), G.script_groups("text").alias("g"), G.split_custom("text", [", ", " "]).alias("c")).collect()
     engine, own = core.engine(TokenizerConfig()), core.engine(TokenizerConfig(separators=(", ", " ")))
