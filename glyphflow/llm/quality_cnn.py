@@ -7,8 +7,8 @@ are max-pooled in it; a text's pooled vectors are averaged and their maximum
 taken over all its chunks, and a logistic unit makes one probability of both.
 
 Training: at most SAMPLE labelled rows of each class, those whose ids have the
-smallest hashes, and at most TRAIN_CHUNKS evenly spaced chunks of each, on the
-driver; only rows outside the held-out fold.  The class shares of all training
+smallest hashes, with all of their chunks as in scoring, on the driver, PIECE
+chunks at a time; only rows outside the held-out fold.  The class shares of all training
 labels correct the intercept, as the sample is balanced.  Same rows, same model.
 
 Scale: scoring is a map without a shuffle; a worker holds the chunks of a few
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, TRAIN_CHUNKS = 1000, 6
+SAMPLE = 1000
+#: Chunks that are looked at at once.
+PIECE = 1024
 CHUNK, STEP = 256, 240
 WIDTH, STRIDE, DIM, FILTERS = 8, 4, 7, 32
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
@@ -107,7 +109,7 @@ class Network:
         out = [np.zeros(0)]
         for part in common.groups(texts, GROUP):
             data, again, counts = chunks(texts[part])
-            pooled = [self.pooled(data[i : i + 1024], again[i : i + 1024]) for i in range(0, len(data), 1024)]
+            pooled = [self.pooled(data[i : i + PIECE], again[i : i + PIECE]) for i in range(0, len(data), PIECE)]
             logits = self.features(np.concatenate(pooled) if pooled else np.zeros((0, FILTERS), np.float32), counts) @ self.out + self.intercept
             out.append(1 / (1 + np.exp(-logits.astype(np.float64))))
         return np.concatenate(out)
@@ -120,7 +122,7 @@ def constant(share: float) -> Network:
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float, seed: int = 7) -> Network:
-    """Adam on the logistic loss; rows: (label, bytes and repeat channel of some chunks)."""
+    """Adam on the logistic loss; rows: (label, bytes and repeat channel of all chunks)."""
     labels = np.array([r[0] for r in rows])
     if len(set(labels.tolist())) < 2:
         return constant(prior)
@@ -134,10 +136,13 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float, seed: in
         y = labels[pick]
         data, again = np.concatenate([rows[i][1] for i in pick]), np.concatenate([rows[i][2] for i in pick])
         counts = np.array([len(rows[i][1]) for i in pick])
-        x = net.inputs(data, again)
-        act = (x @ net.filters).reshape(len(data), POSITIONS, FILTERS)
-        best = act.argmax(1)  # chunk x filter
-        raw = np.take_along_axis(act, best[:, None], 1)[:, 0] + net.bias
+        pieces = [slice(i, i + PIECE) for i in range(0, len(data), PIECE)]
+        best, raw = [], []
+        for k in pieces:
+            act = (net.inputs(data[k], again[k]) @ net.filters).reshape(-1, POSITIONS, FILTERS)
+            best.append(act.argmax(1))  # chunk x filter
+            raw.append(np.take_along_axis(act, best[-1][:, None], 1)[:, 0] + net.bias)
+        raw = np.concatenate(raw)
         pooled = np.maximum(raw, 0)
         feats = net.features(pooled, counts)
         p = 1 / (1 + np.exp(-(feats @ net.out + net.intercept)))
@@ -148,11 +153,15 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float, seed: in
         back = d[doc, None] * (net.out[:FILTERS] / counts[doc, None] + top * net.out[FILTERS:])
         back = (back * (raw > 0)).astype(np.float32)
         grad["bias"] = back.sum(0)
-        seen = x.reshape(len(data), POSITIONS, -1)[np.arange(len(data))[:, None], best]  # chunk x filter x inputs
-        grad["filters"] = np.einsum("cfi,cf->if", seen, back)
-        to = np.einsum("cf,if->cfi", back, net.filters).reshape(len(data), FILTERS, WIDTH, DIM + 1)[..., :DIM]
-        byte = np.take_along_axis(data[:, None, :], (best[:, :, None] * STRIDE + np.arange(WIDTH)), 2)
-        grad["embed"] = np.stack([np.bincount(byte.ravel(), to[..., k].ravel(), 256) for k in range(DIM)], 1).astype(np.float32)
+        grad["filters"], grad["embed"] = np.zeros_like(net.filters), np.zeros_like(net.embed)
+        for k, top_at in zip(pieces, best, strict=True):
+            where = top_at[:, :, None] * STRIDE + np.arange(WIDTH)
+            byte = np.take_along_axis(data[k][:, None, :], where, 2)
+            flag = np.take_along_axis(again[k][:, None, :], where, 2)
+            seen = np.concatenate([net.embed[byte], flag[..., None].astype(np.float32)], 3).reshape(*top_at.shape, -1)  # chunk x filter x inputs
+            grad["filters"] += np.einsum("cfi,cf->if", seen, back[k])
+            to = np.einsum("cf,if->cfi", back[k], net.filters).reshape(-1, FILTERS, WIDTH, DIM + 1)[..., :DIM]
+            grad["embed"] += np.stack([np.bincount(byte.ravel(), to[..., j].ravel(), 256) for j in range(DIM)], 1).astype(np.float32)
         for k in names:
             m = moments[k]
             m[0] = 0.9 * m[0] + 0.1 * grad[k]
@@ -185,18 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * sample rows at most
     rows = docs.select(F.col(id_col).alias("doc_id"), common.as_bytes(text_col)).join(chosen, "doc_id").select("label", "text")
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data, again, n = chunks([text])
-                take = np.unique(np.linspace(0, n[0] - 1, TRAIN_CHUNKS).astype(int)) if n[0] else []
-                out.append((label, data[take].astype(np.uint8).tobytes(), again[take].tobytes()) if n[0] else (label, b"", b""))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], names=["label", "data", "again"])
-
-    got = rows.mapInArrow(some, "label int, data binary, again binary").collect()
-    shape = lambda x: np.frombuffer(bytes(x), np.uint8).reshape(-1, CHUNK)
-    return train(sorted(((r[0], shape(r[1]), shape(r[2])) for r in got if r[1]), key=lambda r: (r[0], r[1].tobytes())), prior)
+    got = sorted((r["label"], bytes(r["text"])) for r in rows.collect() if r["text"])
+    return train([(label, *chunks([text])[:2]) for label, text in got], prior)
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

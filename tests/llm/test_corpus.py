@@ -495,6 +495,23 @@ def test_quality(spark, sf_dir, docs, rows, nothing):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in odd)
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    """All chunks of the sampled rows reach the training, in pieces of any size."""
+    rng = random.Random(9)
+    texts = [(i, prose(rng, 900) + (" the" * 40 if i % 2 else ""), i % 2) for i in range(12)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int")
+    monkeypatch.setattr(quality_cnn, "STEPS", 2)
+    seen, train = [], quality_cnn.train
+    monkeypatch.setattr(quality_cnn, "train", lambda rows, prior: seen.extend(rows) or train(rows, prior))
+    one = quality_cnn.fit(docs, labels)
+    used = [t for t in texts if quality_cnn.crc_fold(t[0]) != quality_cnn.HELD_OUT]
+    assert sorted(len(r[1]) for r in seen) == sorted(int(quality_cnn.chunks([t.encode()])[2][0]) for _, t, _ in used)
+    monkeypatch.setattr(quality_cnn, "PIECE", 7)
+    other = quality_cnn.fit(docs, labels)
+    assert np.allclose(one.filters, other.filters, atol=1e-3) and np.allclose(one.embed, other.embed, atol=1e-3)
+
+
 def test_quality_without_labels(spark, docs):
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None), (3, 7)], "doc_id long, quality int")
     assert {r["score"] > 0.9 for r in quality_cnn.score(docs, quality_cnn.fit(docs, labels)).collect()} == {True}
