@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from conftest import canonical
 from pyspark.sql import functions as F
@@ -109,3 +115,19 @@ def test_stream_drops_late_words(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r["lemma"], r["n"]) for r in spark.table("terms").collect()) == [("a", 1), ("b", 1), ("b", 1), ("c", 1)]
     assert tokenize_stream(stream).isStreaming
+
+
+def test_without_the_corpus_operators(tmp_path):
+    """A copy without glyphflow/llm, tests/llm and (or) corpus_pipeline.py still has all other queries."""
+    here = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", ".hypothesis"))
+    for gone in ("glyphflow/llm", "tests/llm"):
+        shutil.rmtree(copy / gone, ignore_errors=True)
+    ask = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for _ in range(2):  # with corpus_pipeline.py left behind, and without it
+        out = subprocess.run([sys.executable, "-c", ask], cwd=copy, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(copy)})
+        assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], out.stderr
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests/test_core.py", "-x", "-q", "-p", "no:cacheprovider"], cwd=copy, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": str(copy)})
+    assert done.returncode == 0, done.stdout
