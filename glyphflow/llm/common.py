@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -20,12 +21,14 @@ _Q = np.uint64(0xD1342543DE82EF95)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests, local mode) a local one is used.
+    Only a local session (as in tests) may go without: there the driver is the only machine.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = "file:///tmp/checkpoints/glyphflow"
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.gettempdir()}/glyphflow-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -36,6 +39,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that scratch() named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage."""
     shared_dir(df.sparkSession)

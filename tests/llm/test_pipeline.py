@@ -8,10 +8,10 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
-from test_corpus import decontamination_brute, join_brute, prose
+from test_corpus import contaminated_brute, join_brute, prose
 
 import corpus_pipeline
-from glyphflow.llm import pii, quality_cnn
+from glyphflow.llm import common, pii, quality_cnn
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,9 @@ def tables(spark, tmp_path_factory):
     items = [(k, " ".join(docs[20 + k][1].split()[5:25])) for k in range(4)]
     docs += [(300 + i, f"{prose(rng, 30)} mail a.b{i}@mail8.example.com now") for i in range(5)]
     docs += [(400 + i, "the " * (50 + i)) for i in range(20)]
-    labels = [(i, int(i < 400)) for i, _ in docs]
+    docs += [(500 + k, f"{prose(rng, 700)} {items[k][1]} {prose(rng, 100)}") for k in range(2)]  # under a twentieth
+    docs += [(600, f"{prose(rng, 60)} {' '.join(items[0][1].split()[:12])}")]  # no whole window
+    labels = [(i, int(not 400 <= i < 500)) for i, _ in docs]
     at = str(tmp_path_factory.mktemp("pipeline"))
     spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
@@ -46,7 +48,7 @@ def test_stages_and_run(spark, tables):
         return [r for r in rows if any(i == c == r[0] for i, c, _, _ in join_brute(rows))]
 
     def clean(rows):
-        bad = {r[0] for r in decontamination_brute(rows, items) if r[-1]}
+        bad = contaminated_brute(rows, items)[1]
         return [r for r in rows if r[0] not in bad]
 
     def encoded(rows):
@@ -57,7 +59,7 @@ def test_stages_and_run(spark, tables):
     plain = [quality, near, clean, lambda rows: [(i, hide(t)[0]) for i, t in rows]]
     docs, sizes = spark.read.parquet(f"{at}/documents.parquet"), [len(rows)]
     for (_, stage), own in zip(corpus_pipeline.STAGES[:-1], plain, strict=True):
-        docs, before, rows = stage(spark, docs, at).localCheckpoint(), rows, own(rows)
+        docs, before, rows = common.cut(stage(spark, docs, at)), rows, own(rows)
         got = docs.collect()
         assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
         sizes.append(len(rows))
