@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from . import tables
 
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
 
 @dataclass(frozen=True)
 class TokenizerConfig:
@@ -27,6 +31,12 @@ class TokenizerConfig:
     kvariants: tuple[tuple[str, str], ...] | None = None
     lexicons: tuple[tuple[str, tuple[str, ...]], ...] = ()
     language_model: object | None = field(default=None, compare=False)
+    #: characters that a lexicon segmenter hands on together at most where no word begins, by name
+    buffers: tuple[tuple[str, int | None], ...] = ()
+    #: (script, language or None, function text -> parts): beside or in place of the registered segmenters
+    segmenters: tuple[tuple[str, str | None, Callable[[str], list[str]]], ...] = ()
+    #: (name, gate(lemma, script, language), mapping of a character): after all other steps
+    normalizers: tuple[tuple[str, Callable[[str, str, str | None], bool], Callable[[str], str]], ...] = ()
 
     def __post_init__(self) -> None:
         for code in self.allow_list or ():
@@ -49,7 +59,12 @@ class TokenizerBuilder:
         self._config = replace(self._config, **changes)
         return self
 
-    def stop_words(self, words: Iterable[str]) -> TokenizerBuilder:
+    def stop_words(self, words: Iterable[str] | DataFrame) -> TokenizerBuilder:
+        """Words, or a table whose first column has them (of a dictionary's size; functions.mark_stop_words joins larger ones)."""
+        if hasattr(words, "toLocalIterator"):
+            from .sources import read_words
+
+            words = read_words(words)
         return self._set(stop_words=frozenset(words))
 
     def separators(self, separators: Iterable[str]) -> TokenizerBuilder:
@@ -74,6 +89,21 @@ class TokenizerBuilder:
         rest = tuple(x for x in self._config.lexicons if x[0] != segmenter)
         return self._set(lexicons=(*rest, (segmenter, tuple(words))))
 
+    def buffer(self, segmenter: str, characters: int | None) -> TokenizerBuilder:
+        """Characters between a lexicon's words that come together at most; None for however many."""
+        rest = tuple(x for x in self._config.buffers if x[0] != segmenter)
+        return self._set(buffers=(*rest, (segmenter, characters)))
+
+    def segmenter(self, script: str, language: str | None, cut: Callable[[str], list[str]]) -> TokenizerBuilder:
+        """Adds a segmenter for a script and language, or takes the place of one; its parts joined have to be the text."""
+        if script not in tables.SCRIPTS or (language is not None and language not in tables.LANGUAGES):
+            raise ValueError(f"unknown script or language {script!r}, {language!r}")
+        return self._set(segmenters=(*self._config.segmenters, (script, language, cut)))
+
+    def normalizer(self, name: str, gate: Callable[[str, str, str | None], bool], one: Callable[[str], str]) -> TokenizerBuilder:
+        """Adds a step after all others: one maps a character wherever gate(lemma, script, language) holds."""
+        return self._set(normalizers=(*self._config.normalizers, (name, gate, one)))
+
     def kvariants(self, pairs: Iterable[tuple[str, str]]) -> TokenizerBuilder:
         return self._set(kvariants=tuple(pairs))
 

@@ -50,8 +50,8 @@ class Trie:
         return best
 
 
-def by_longest_word(text: str, trie: Trie, buffered: bool) -> list[str]:
-    """Words, greedily; characters between words come one by one, or together if buffered."""
+def by_longest_word(text: str, trie: Trie, buffer: int | None) -> list[str]:
+    """Words, greedily; characters between words come together, at most buffer of them (None: however many)."""
     out: list[str] = []
     at = begin = 0
     while at < len(text):
@@ -64,7 +64,7 @@ def by_longest_word(text: str, trie: Trie, buffered: bool) -> list[str]:
             begin = at
         else:
             at += 1
-            if not buffered:
+            if at - begin == buffer:
                 out.append(text[begin:at])
                 begin = at
     if begin < len(text):
@@ -194,7 +194,9 @@ REGISTRY: dict[tuple[str, str | None], str] = {
 
 
 @lru_cache(maxsize=32)
-def segmenter(name: str, config: TokenizerConfig) -> Callable[[str], list[str]]:
+def segmenter(name: str | Callable[[str], list[str]], config: TokenizerConfig) -> Callable[[str], list[str]]:
+    if callable(name):
+        return name
     words = dict(config.lexicons).get(name)
     if words is None:
         words = tuple(lexicons.SEEDS.get(name, "").split(" "))
@@ -208,10 +210,11 @@ def segmenter(name: str, config: TokenizerConfig) -> Callable[[str], list[str]]:
         return Lattice(words)
     if name in ("thai", "khmer", "korean"):
         trie = Trie(words)
-        return lambda text: by_longest_word(text, trie, False)
+        buffer = dict(config.buffers).get(name, 1)
+        return lambda text: by_longest_word(text, trie, buffer)
     if name == "german":
-        trie = Trie(words)
-        return lambda text: by_longest_word(text, trie, True)
+        trie, buffer = Trie(words), dict(config.buffers).get(name)
+        return lambda text: by_longest_word(text, trie, buffer)
     if name == "latin":
         return camel_case if config.camel_case else lambda text: [text]
     raise ValueError(f"unknown segmenter {name!r}")
@@ -235,7 +238,11 @@ def detect_script(text: str) -> str:
     return min(counts, key=lambda s: (-counts[s], order[s])) if counts else "Other"
 
 
-_BY_SCRIPT = {"Cyrillic": "rus", "Devanagari": "hin", "Hebrew": "heb", "Ethiopic": "amh", "Georgian": "kat", "Bengali": "ben", "Hangul": "kor", "Greek": "ell", "Kannada": "kan", "Tamil": "tam", "Thai": "tha", "Gujarati": "guj", "Gurmukhi": "pan", "Telugu": "tel", "Malayalam": "mal", "Oriya": "ori", "Myanmar": "mya", "Sinhala": "sin", "Khmer": "khm", "Armenian": "hye"}
+#: Languages of scripts that several share, the most likely first.
+_SHARED = {"Cyrillic": ("rus", "ukr", "bul", "bel", "mkd", "srp"), "Devanagari": ("hin", "mar", "nep"), "Hebrew": ("heb", "yid"), "Arabic": ("ara", "pes", "urd"), "Bengali": ("ben",)}
+#: Letters that tell a language from the others of its script.
+_LETTERS = {"rus": "ыэё", "ukr": "іїєґ", "bul": "ъ", "bel": "ўі", "mkd": "ѓќѕ", "srp": "ђћ", "mar": "ळ", "yid": "װױײ", "pes": "پچژگکی۰۱۲۳۴۵۶۷۸۹", "urd": "ٹڈڑےں"}
+_BY_SCRIPT = {"Ethiopic": "amh", "Georgian": "kat", "Bengali": "ben", "Hangul": "kor", "Greek": "ell", "Kannada": "kan", "Tamil": "tam", "Thai": "tha", "Gujarati": "guj", "Gurmukhi": "pan", "Telugu": "tel", "Malayalam": "mal", "Oriya": "ori", "Myanmar": "mya", "Sinhala": "sin", "Khmer": "khm", "Armenian": "hye"}
 
 
 @cache
@@ -243,21 +250,41 @@ def _function_words() -> dict[str, frozenset[str]]:
     return {k: frozenset(v.split()) for k, v in lexicons.FUNCTION_WORDS.items()}
 
 
+#: Languages whose function words are not Latin.
+_OTHER_SCRIPTS = frozenset(k for names in _SHARED.values() for k in names)
+
+
+def _word_scores(text: str, languages: Iterable[str]) -> dict[str, int]:
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    known = _function_words()
+    return {k: sum(w in known.get(k, ()) for w in words) for k in languages}
+
+
 def detect_language(text: str, script: str, allow: tuple[str, ...] | None, model: object | None = None) -> str | None:
     """The language among those allowed (all, if None) that the text looks most like; None if unsure."""
     if allow is not None and not allow:
         return None
     if script == "Cj":
         found = "jpn" if re.search("[ぁ-ゟァ-ヿ]", text) else "cmn"
+        if allow is not None and found not in allow:
+            found = next((k for k in ("cmn", "jpn") if k in allow), None)
     elif script == "Arabic":
-        found = "urd" if re.search("[ٹڈڑےں]", text) else "pes" if re.search("[پچژگکی۰-۹]", text) else "ara"
+        # any letter of the narrower alphabet decides
+        options = [k for k in ("urd", "pes") if (allow is None or k in allow) and any(c in _LETTERS[k] for c in text)]
+        options += [k for k in _SHARED[script] if allow is None or k in allow]
+        found = next(iter(options), None)
     elif script == "Latin":
         if model is not None:
             return model.detect(text, allow)
-        words = re.findall(r"[^\W\d_]+", text.lower())
-        scores = {k: sum(w in known for w in words) for k, known in _function_words().items() if allow is None or k in allow}
+        scores = _word_scores(text, [k for k in _function_words() if k not in _OTHER_SCRIPTS and (allow is None or k in allow)])
         best = max(scores.values(), default=0)
         return min(k for k in scores if scores[k] == best) if best else None
+    elif script in _SHARED:
+        options = [k for k in _SHARED[script] if allow is None or k in allow]
+        scores, low = _word_scores(text, options), text.lower()
+        for k in options:
+            scores[k] += 2 * sum(low.count(c) for c in _LETTERS.get(k, ""))
+        return max(options, key=lambda k: scores[k], default=None)  # ties: the most likely
     else:
         found = _BY_SCRIPT.get(script)
     return found if allow is None or found in allow else None
@@ -348,7 +375,6 @@ class Normalizer:
 
     def steps(self, script: str, language: str | None) -> Iterator[tuple[str, Callable[[str], bool], Callable[[str], str]]]:
         """(name, gate on the lemma, mapping of a character) in order; "classify" stands in its place."""
-        latin, cj = script == "Latin", script == "Cj"
         yield "nfkd", lambda s: not s.isascii() and not unicodedata.is_normalized("NFKD", s), nfkd
         if language == "swe":
             yield "swedish", lambda s: bool(_SWEDISH_PAIR.search(s)), recompose_swedish
@@ -356,8 +382,13 @@ class Normalizer:
         yield "classify", lambda s: True, str
         if script == "Arabic" and language == "pes":
             yield "persian", lambda s: any(c in PERSIAN for c in s), _mapped(PERSIAN)
-        if not self.config.lossy:
-            return
+        if self.config.lossy:
+            yield from self._lossy(script, language)
+        for name, wanted, one in self.config.normalizers:
+            yield name, lambda s, wanted=wanted: wanted(s, script, language), one
+
+    def _lossy(self, script: str, language: str | None) -> Iterator[tuple[str, Callable[[str], bool], Callable[[str], str]]]:
+        latin, cj = script == "Latin", script == "Cj"
         if script in _CASED:
             yield "lowercase", lambda s: any(c.isupper() for c in s), str.lower
         if latin:
@@ -377,6 +408,19 @@ class Normalizer:
             yield "vietnamese", lambda s: any(c in VIETNAMESE for c in s), _mapped(VIETNAMESE)
             yield "turkish", lambda s: "ı" in s, _mapped(TURKISH)
 
+    def one(self, name: str, text: str, script: str, language: str | None, gated: bool) -> str:
+        """A single step by its name; with gated only where its script, language and gate ask for it."""
+        if gated:
+            step = next((s for s in self.steps(script, language) if s[0] == name), None)
+            if step is None or not step[1](text):
+                return text
+            return self.apply(name, step[2], text, None, False)[0]
+        for s, language_ in (("Arabic", "pes"), ("Latin", "swe"), ("Cj", None), ("Greek", None), (script, language)):
+            for step in self.steps(s, language_):
+                if step[0] == name:
+                    return self.apply(name, step[2], text, None, False)[0]
+        raise ValueError(f"unknown normaliser {name!r}")
+
     @staticmethod
     def apply(name: str, one: Callable[[str], str], lemma: str, chars: CharMap | None, track: bool) -> tuple[str, CharMap | None]:
         if name == "japanese":
@@ -470,7 +514,8 @@ class Engine:
             alternatives = tables.alternation(frozenset(x for x in self.matches if len(x) > 1 or own))
             rest = "" if own else f"|[{tables.char_class(tables.separator_ranges(), True)}]"
             self.custom = re.compile((alternatives + rest).strip("|"), re.S)
-        self.number_of_segmenters = {s: sum(k[0] == s for k in REGISTRY) for s in tables.SCRIPTS}
+        self.registry: dict[tuple[str, str | None], str | Callable] = {**REGISTRY, **{(s, k): cut for s, k, cut in config.segmenters}}
+        self.number_of_segmenters = {s: sum(k[0] == s for k in self.registry) for s in tables.SCRIPTS}
 
     def groups(self, text: str) -> list[str]:
         if not text:
@@ -495,16 +540,16 @@ class Engine:
             out.append(group[at:])
         return out
 
-    def plan(self, group: str) -> tuple[str, str | None, str]:
+    def plan(self, group: str) -> tuple[str, str | None, str | Callable]:
         """Script, language (None unless it had to be known) and segmenter of a group."""
         script, language = self.detect(group), None
         n = self.number_of_segmenters[script]
         if n == 0:
             return script, None, "latin"
         if n == 1:
-            return script, None, next(v for k, v in REGISTRY.items() if k[0] == script)
+            return script, None, next(v for k, v in self.registry.items() if k[0] == script)
         language = language_for(group, script, self.config)
-        return script, language, REGISTRY.get((script, language)) or REGISTRY.get((script, None)) or "latin"
+        return script, language, self.registry.get((script, language)) or self.registry.get((script, None)) or "latin"
 
     def segments(self, text: str) -> Iterator[tuple[list[str], str, str | None]]:
         """Of each group its segments, script and language."""

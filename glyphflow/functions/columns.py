@@ -53,7 +53,9 @@ def split_custom(text: Column | str, words: Iterable[str]) -> Column:
     words = tuple(w for w in words if w)
     if not words:
         return split_separators(text)
-    return F.regexp_extract_all(_col(text), F.lit(tables.custom_split_pattern(words)), F.lit(0))
+    text, pattern = _col(text), F.lit(tables.gap_pattern(words))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("word"))
+    return F.filter(F.flatten(F.transform(pairs, lambda x: F.array(x["gap"], x["word"]))), lambda p: p != "")
 
 
 def maybe_number(part: Column | str) -> Column:
@@ -74,6 +76,17 @@ def split_arabic_article(part: Column | str) -> Column:
 # -- detection
 
 
+def contains_script(text: Column | str, name: str) -> Column:
+    """Whether a character of a script, or of a part of one (Hiragana, Katakana, Mandarin, Persian), occurs."""
+    return _col(text).rlike(_class(tables.SCRIPT_RANGES.get(name) or tables.PART_RANGES[name]))
+
+
+def detector_language(code: Column | str) -> Column:
+    """The code under which detectors know a language: zho is cmn."""
+    code = _col(code)
+    return F.when(code == "zho", "cmn").otherwise(code)
+
+
 def detect_script(text: Column | str) -> Column:
     """The script with most characters; ties go to the script named first.
 
@@ -147,6 +160,13 @@ def mark_stop_words(tokens: DataFrame, stop_words: DataFrame, lemma_col: str = "
     return tokens.join(words, tokens[lemma_col] == words["_word"], "left").withColumn(kind_col, F.when(F.col("_stop"), "stop_word").otherwise(F.col(kind_col))).drop("_word", "_stop")
 
 
+def map_variants(tokens: DataFrame, variants: DataFrame, lemma_col: str = "lemma") -> DataFrame:
+    """lemma_col replaced where it is the first column of variants, by the second: a join, for tables of any size."""
+    source, standard = variants.columns[:2]
+    pairs = variants.groupBy(F.col(source).alias("_variant")).agg(F.min(standard).alias("_standard"))
+    return tokens.join(pairs, tokens[lemma_col] == pairs["_variant"], "left").withColumn(lemma_col, F.coalesce("_standard", lemma_col)).drop("_variant", "_standard")
+
+
 def is_word(token: Column) -> Column:
     return token["kind"] == "word"
 
@@ -197,16 +217,42 @@ def original_lengths(token: Column, num_bytes: Column | int) -> Column:
     return F.struct(out["chars"].alias("chars"), out["bytes"].alias("bytes"))
 
 
+#: Segments whose offsets are summed by copying one array; with n segments that is n * BLOCK copies.
+BLOCK = 128
+
+
 def with_offsets(segments: Column | str) -> Column:
-    """array<struct<segment, char_start, char_end, byte_start, byte_end>> by running sums."""
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast("array<struct<segment:string,char_start:int,char_end:int,byte_start:int,byte_end:int>>").alias("out"))
+    """array<struct<segment, char_start, char_end, byte_start, byte_end>> by running sums.
+
+    A running sum in a row copies its array at each step, so segments are summed in blocks:
+    first where each block begins, then within each.
+    """
+    rows = "array<struct<segment:string,char_start:int,char_end:int,byte_start:int,byte_end:int>>"
+    none = F.array().cast(rows)
+    at = lambda c, b: F.struct(c.alias("c"), b.alias("b"))
+
+    def first(acc: Column, block: Column) -> Column:
+        c, b = F.aggregate(block, F.lit(0), lambda n, s: n + F.char_length(s)), F.aggregate(block, F.lit(0), lambda n, s: n + F.octet_length(s))
+        return F.struct((acc["c"] + c).alias("c"), (acc["b"] + b).alias("b"), F.concat(acc["out"], F.array(at(acc["c"], acc["b"]))).alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
         c, b = acc["c"] + F.char_length(s), acc["b"] + F.octet_length(s)
         one = F.struct(s.alias("segment"), acc["c"].alias("char_start"), c.alias("char_end"), acc["b"].alias("byte_start"), b.alias("byte_end"))
         return F.struct(c.alias("c"), b.alias("b"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(_col(segments), zero, add, lambda acc: acc["out"])
+    def within(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start["c"].alias("c"), start["b"].alias("b"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def of(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast("array<struct<c:int,b:int>>").alias("out"))
+        starts = F.aggregate(blocks, zero, first, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, within))
+
+    def cut(s: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / F.lit(BLOCK)).cast("int"))
+        return F.when(F.size(s) == 0, none).when(s.isNotNull(), _let(F.transform(numbers, lambda i: F.slice(s, i * BLOCK + 1, F.lit(BLOCK))), of))
+
+    return _let(_col(segments), cut)
 
 
 # -- normalisers that are tables

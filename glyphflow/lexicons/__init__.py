@@ -6,6 +6,7 @@ builder.  The words here are fixed values from the published examples.
 
 from __future__ import annotations
 
+#: Fixed values.
 SEEDS: dict[str, str] = {
     "thai": "ภาษาไทย ง่าย นิดเดียว ไก่ ขัน ตอนเช้า บน ขันน้ำ ฉัน สระผม ที่ สระน้ำ ด้วย น้ำยา",
     "khmer": "សួស្តី ពិភពលោក",
@@ -19,13 +20,13 @@ SEEDS: dict[str, str] = {
     "korean": "한국어 의 형태 해석 을 실시 할 수 있 습니다",
 }
 
-#: Variant, kind of relation, standard form.
+#: Variant, kind of relation, standard form.
 KVARIANTS: tuple[tuple[str, str, str], ...] = tuple(
     tuple(x.split(":"))
     for x in "澚:wrong!:澳 䀾:sem:䁈 亚:simp:亞 㮺:old:本 刄:=:刃 杤:simp:𣜜 础:simp:礎 应:simp:應 真:=:眞 选:simp:選 举:simp:舉 现:simp:現 恶:simp:惡 剧:simp:劇 满:simp:滿 烂:simp:爛 颜:simp:顏".split()
 )
 
-#: Frequent short words by language: all that the built-in detector of Latin-script languages looks at.
+#: Frequent short words by language: what the built-in detector of languages looks at.
 FUNCTION_WORDS: dict[str, str] = {
     "eng": "the of and to in is that for it was with as on be at by this from are or have not which you",
     "fra": "le la les de des du et un une en est que qui dans pour par sur pas au avec ne se ce il",
@@ -40,5 +41,16 @@ FUNCTION_WORDS: dict[str, str] = {
     "fin": "ja on ei se että oli joka mutta ovat kuin myös hän tai",
     "pol": "i w na z do się nie to że jest o jak po ale za od",
     "tur": "ve bir bu da de için ile olarak çok daha gibi olan",
+    "rus": "и в не на я что он с как это по но они из у к за от так же",
+    "ukr": "і в не на що він з як це по але вони із у до за від так й та",
+    "bul": "и в не на че той с как това по но те от за да се е са ще",
+    "bel": "і ў не на што ён з як гэта па але яны да за ад так бы",
+    "mkd": "и во не на што тој со како ова по но тие од за да се е ќе",
+    "srp": "и у не на што он са као ово по али они од за да се је су ће",
+    "hin": "के का में की है और से को पर नहीं यह था एक हैं",
+    "mar": "आणि च्या आहे मध्ये हा ही हे नाही तो ते एक होते",
+    "nep": "र को मा छ हो गर्न यो पनि लागि भएको छन् एक",
+    "heb": "של את על לא זה הוא אני עם כי גם או היא",
+    "yid": "די און אין איז דער צו ניט פון מיט האט א",
     "vie": "và của là có không cho được trong một các với người",
 }

@@ -1,8 +1,8 @@
 """Relational analytics over tokens.
 
-Each takes a table of words (one row a word: id columns, pos, lemma) or of texts,
-and is one aggregation by term, or one window within a text.  Aggregations combine
-on the map side, so a word in every text sends one row a task.
+Each takes a table of words (one row a word: id columns, pos, lemma) or of texts.
+What concerns one text alone is made in its own row; what is left is one aggregation
+by term, which combines on the map side, so a word in every text sends one row a task.
 """
 
 from __future__ import annotations
@@ -41,27 +41,25 @@ def ngram_counts(texts: DataFrame, n: int = 2, text_col: str = "text", tokenizer
     return rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def contexts(tokens: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """tokens (by, pos, kind, separator_kind, ...) with context: hard separators before, within one text."""
-    order = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tokens.withColumn("context", F.sum(F.when(F.col("separator_kind") == "hard", 1).otherwise(0)).over(order))
+def context_lengths(texts: DataFrame, by: tuple[str, ...], text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
+    """by, context, n_words: words between hard separators (contexts without words are left out), a text at a time: no shuffle."""
+    rows = texts.select(*by, F.posexplode((tokenizer or Tokenizer()).contexts(text_col)).alias("context", "w"))
+    return rows.filter(F.size("w") > 0).select(*by, F.col("context").cast("long").alias("context"), F.size("w").cast("long").alias("n_words"))
 
 
-def context_lengths(tokens: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """by, context, n_words: words between hard separators (contexts without words are left out)."""
-    return contexts(tokens, by).filter(F.col("kind") == "word").groupBy(*by, "context").agg(F.count("*").alias("n_words"))
-
-
-def proximity(tokens: DataFrame, by: tuple[str, ...], within: int = 3) -> DataFrame:
-    """first, second, n: word pairs at most within words apart in one context."""
-    placed = contexts(tokens, by).filter(F.col("kind") == "word")
-    order = Window.partitionBy(*by, "context").orderBy("pos")
-    near = [F.lead("lemma", d).over(order) for d in range(1, within + 1)]
-    pairs = placed.select(F.col("lemma").alias("first"), F.array_compact(F.array(*near)).alias("near"))
-    return pairs.select("first", F.explode("near").alias("second")).groupBy("first", "second").agg(F.count("*").alias("n"))
+def proximity(texts: DataFrame, within: int = 3, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
+    """first, second, n: word pairs at most within words apart in one context; pairs are made in the text's own row."""
+    rows = texts.select(F.explode((tokenizer or Tokenizer()).contexts(text_col)).alias("w")).filter(F.size("w") > 1)
+    near = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.transform(F.slice("w", i + 2, F.lit(within)), lambda x: F.struct(F.get("w", i).alias("first"), x.alias("second")))))
+    return rows.select(F.inline(near)).groupBy("first", "second").agg(F.count("*").alias("n"))
 
 
 def tf_idf(texts: DataFrame, id_col: str, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
-    """id, lemma, tf, df."""
-    terms = words(texts, text_col, (id_col,), tokenizer).groupBy(id_col, "lemma").agg(F.count("*").alias("tf"))
-    return terms.join(terms.groupBy("lemma").agg(F.count("*").alias("df")), "lemma").select(id_col, "lemma", "tf", "df")
+    """id, lemma, tf, df: a word's count in a text is made in the text's own row.
+
+    df is grouped by lemma; with a second key both sides are shuffled for the join, and AQE can split a word of all texts.
+    """
+    t = tokenizer or Tokenizer()
+    terms = texts.select(id_col, F.inline(t.lemma_counts(text_col))).withColumn("h", F.xxhash64("lemma"))
+    df = document_frequency(texts, text_col, t).withColumn("h", F.xxhash64("lemma"))
+    return terms.join(df, ["lemma", "h"]).select(id_col, "lemma", F.col("n").alias("tf"), "df")

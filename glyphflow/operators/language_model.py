@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Trigrams of a profile; characters of a text that are looked at in training count whole.
+#: Trigrams of a profile; a trigram that a profile lacks, or that ranks further away, counts as so many places.
 TOP = 300
 
 
 def trigrams(text: str) -> Counter[str]:
-    padded = f" {' '.join(re.findall(r'[^\W\d_]+', text.lower()))} "
-    return Counter(padded[i : i + 3] for i in range(len(padded) - 2))
+    """Of the text's runs of letters, in small letters and parted by single spaces, with one before and after."""
+    letters = "".join([c if c.isalpha() else " " for c in text.lower()]).split()
+    padded = f" {' '.join(letters)} "
+    return Counter(padded[i : i + 3] for i in range(len(padded) - 2)) if letters else Counter()
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Rank profiles by language; the nearest profile by sum of rank differences wins."""
+    """Rank profiles by language; the nearest profile by sum of rank differences over all trigrams of a text wins."""
 
     profiles: dict[str, dict[str, int]]
 
     def detect(self, text: str, allow: tuple[str, ...] | None = None) -> str | None:
-        ranked = [g for g, _ in sorted(trigrams(text).items(), key=lambda x: (-x[1], x[0]))[:TOP]]
+        ranked = [g for g, _ in sorted(trigrams(text).items(), key=lambda x: (-x[1], x[0]))]
         if not ranked:
             return None
-        scores = {k: sum(abs(p.get(g, TOP) - i) if g in p else TOP for i, g in enumerate(ranked)) for k, p in self.profiles.items() if allow is None or k in allow}
+        scores = {k: sum(min(TOP, abs(p[g] - i)) if g in p else TOP for i, g in enumerate(ranked)) for k, p in self.profiles.items() if allow is None or k in allow}
         return min(scores, key=lambda k: (scores[k], k)) if scores else None
 
 
 def train(texts: DataFrame, language_col: str, text_col: str = "text") -> LanguageModel:
     """Counts trigrams in Catalyst; only TOP a language come to the driver."""
-    letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text_col), r"[^\p{L}]+", " "), F.lit(" "))
+    letters = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text_col), r"[^\p{L}]+", " ")), F.lit(" "))
     rows = texts.filter(F.col(language_col).isNotNull()).select(F.col(language_col).alias("lang"), letters.alias("t")).filter(F.char_length("t") >= 3)
     chars = rows.select("lang", F.split("t", "").alias("c")).filter(F.size("c") >= 3)  # by place in constant time
     three = F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))

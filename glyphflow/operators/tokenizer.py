@@ -8,6 +8,7 @@ bound the memory of a worker, not the number of rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
@@ -68,6 +69,47 @@ def _lemmas(engine: core.Engine, texts: list[str | None]) -> pa.Array:
     return _list(counts, pa.array(flat, pa.string()))
 
 
+def _contexts(engine: core.Engine, texts: list[str | None]) -> pa.Array:
+    """Of each text the lemmas of its words, listed by the hard separators between them."""
+    flat: list[str] = []
+    sizes: list[int | None] = []
+    counts: list[int | None] = []
+    hard = core.KINDS.index(("separator", "hard"))
+    for t in texts:
+        if t is None:
+            counts.append(None)
+            continue
+        before, at = len(sizes), len(flat)
+        for parts, script, language in engine.segments(t):
+            for lemma, kind, *_ in engine.facts(parts, script, language):
+                if not kind:
+                    flat.append(lemma)
+                elif kind == hard:
+                    sizes.append(len(flat) - at)
+                    at = len(flat)
+        sizes.append(len(flat) - at)
+        counts.append(len(sizes) - before)
+    return _list(counts, _list(sizes, pa.array(flat, pa.string())))
+
+
+def _lemma_counts(engine: core.Engine, texts: list[str | None]) -> pa.Array:
+    flat: Counter[str]
+    lemmas: list[str] = []
+    ns: list[int] = []
+    counts: list[int | None] = []
+    for t in texts:
+        if t is None:
+            counts.append(None)
+            continue
+        flat = Counter()
+        for parts, script, language in engine.segments(t):
+            flat.update(f[0] for f in engine.facts(parts, script, language) if not f[1])
+        lemmas += flat.keys()
+        ns += flat.values()
+        counts.append(len(flat))
+    return _list(counts, pa.StructArray.from_arrays([pa.array(lemmas, pa.string()), pa.array(ns, pa.int64())], names=["lemma", "n"]))
+
+
 def _repeated(values: list[str | None], runs: list[int]) -> pa.Array:
     """Each value as often as its run is long."""
     if not values:
@@ -209,6 +251,14 @@ class Tokenizer:
         """array<string>: the lemmas of word tokens, in order."""
         return self._column(_lemmas, schema.STRINGS, text)
 
+    def contexts(self, text: Column | str) -> Column:
+        """array<array<string>>: the lemmas of word tokens by context; a hard separator begins a new one."""
+        return self._column(_contexts, T.ArrayType(schema.STRINGS, False), text)
+
+    def lemma_counts(self, text: Column | str) -> Column:
+        """array<struct<lemma, n>>: the text's distinct word lemmas and how often each stands in it."""
+        return self._column(_lemma_counts, schema.COUNTS, text)
+
     def normalize_text(self, text: Column | str) -> Column:
         """Every normaliser on the whole string, no gate asked."""
         return self._column(_text, T.StringType(), text)
@@ -229,6 +279,27 @@ class Tokenizer:
             raise ValueError(f"unknown segmenter {segmenter!r}")
         return self._column(kernel, schema.STRINGS, text)
 
+    def segment_with_each(self, text: Column | str, segmenters: Iterable[str]) -> Column:
+        """struct<name: array<string>, ...>: several segmenters on the text, in one pass over it."""
+        names = list(segmenters)
+        if unknown := set(names) - set(core.SEGMENTERS):
+            raise ValueError(f"unknown segmenters {sorted(unknown)}")
+
+        def kernel(engine: core.Engine, texts: list[str | None]) -> pa.Array:
+            cuts = [core.segmenter(n, engine.config) for n in names]
+            return pa.StructArray.from_arrays([pa.array([None if t is None else cut(t) if t else [] for t in texts], pa.list_(pa.string())) for cut in cuts], names=names)
+
+        return self._column(kernel, T.StructType([T.StructField(n, schema.STRINGS) for n in names]), text)
+
+    def normalize_with(self, text: Column | str, normalizer: str, script: str = "Other", language: str | None = None, gated: bool = True) -> Column:
+        """One normaliser on whole strings of one script and language; its gate is asked unless gated is false."""
+
+        def kernel(engine: core.Engine, texts: list[str | None]) -> pa.Array:
+            return pa.array([None if t is None else engine.normalizer.one(normalizer, t, script, language, gated) for t in texts], pa.string())
+
+        core.Normalizer(self.config).one(normalizer, "", script, language, False)  # an unknown name fails here
+        return self._column(kernel, T.StringType(), text)
+
     def normalize_tokens(self, tokens: Column | str) -> Column:
         """array<token> from segment() -> array<token>, gates asked; offsets stay."""
         config = self.config
@@ -255,8 +326,9 @@ class Tokenizer:
 
     def explode(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """One row a token: the other columns, pos, and the token's fields."""
-        rows = df.withColumn("_tokens", self.tokenize(text_col)).drop(text_col)
-        return rows.select(*[c for c in rows.columns if c != "_tokens"], F.posexplode("_tokens").alias("pos", "_t")).select("*", "_t.*").drop("_t")
+        # the generator takes the function itself: over a column, a filter on it would be inferred, and the function run twice
+        rows = df.select(*[c for c in df.columns if c != text_col], F.posexplode(self.tokenize(text_col)).alias("pos", "_t"))
+        return rows.select("*", "_t.*").drop("_t")
 
 
 def spans(text: str, config: TokenizerConfig | None = None) -> list[tuple[str, int, int]]:

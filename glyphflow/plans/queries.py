@@ -15,7 +15,7 @@ from .. import functions as G
 from ..config import TokenizerConfig
 from ..operators import analytics, language_model
 from ..operators.tokenizer import Tokenizer
-from ..streaming import term_counts
+from ..streaming import run_to_table, shared_path, term_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a text that isn't empty: those that have tokens."""
+    return _table(spark, sf_dir, "documents").filter(F.char_length("text") > 0)
+
+
 def _digest(pieces: Column) -> Column:
     return F.sha2(F.array_join(pieces, "\x1f"), 256)
 
@@ -101,22 +106,26 @@ def script_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("g").cast("long").alias("n_groups"), _digest(F.col("g")).alias("groups_sha256"))
 
 
-_MANY = "SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Ж' || repeat('ж', len(text) + 1) || text WHEN 2 THEN text || repeat('漢か', len(text)) ELSE '12 - 34' END AS t FROM documents"
-_MAJORITY = ", ".join(f"len(regexp_replace(t, '[^{tables.char_class(tables.exclusive_ranges(s))}]', '', 'g')) AS n{k}" for k, s in enumerate(tables.SCRIPT_RANGES))
-_BEST = f"greatest({', '.join(f'n{k}' for k in range(len(tables.SCRIPT_RANGES)))})"
+_SCRIPTS = list(tables.SCRIPT_RANGES)
 
 
-@query(f"SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'Other' {' '.join(f"WHEN n{k} = {_BEST} THEN '{s}'" for k, s in enumerate(tables.SCRIPT_RANGES))} END AS script FROM (SELECT doc_id, {_MAJORITY} FROM ({_MANY}))")
-def script_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.pmod("doc_id", F.lit(4))
-    text = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("Ж"), F.expr("repeat('ж', char_length(text) + 1)"), "text")).when(k == 2, F.concat("text", F.expr("repeat('漢か', char_length(text))"))).otherwise("12 - 34")
-    return _table(spark, sf_dir, "documents").select("doc_id", G.detect_script(text).alias("script"))
+def _majority_sql(text: str, name: str) -> str:
+    counts = ", ".join(f"len(regexp_replace({text}, '[^{tables.char_class(tables.exclusive_ranges(s))}]', '', 'g'))" for s in _SCRIPTS)
+    return f"list_max(list_transform([{counts}], lambda n, i: {{'n': n, 'k': -i}})) AS {name}"
+
+
+def _script_sql(best: str) -> str:
+    return f"CASE WHEN {best}.n = 0 THEN 'Other' ELSE ([{', '.join(f"'{s}'" for s in _SCRIPTS)}])[-{best}.k] END"
 
 
-@query(f"SELECT doc_id, CASE WHEN {_BEST} = 0 THEN 'Other' {' '.join(f"WHEN n{k} = {_BEST} THEN '{s}'" for k, s in enumerate(tables.SCRIPT_RANGES))} END AS script FROM (SELECT doc_id, {_MAJORITY} FROM (SELECT doc_id, text AS t FROM documents))")
-def script_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The script of every document's own text."""
-    return _table(spark, sf_dir, "documents").select("doc_id", G.detect_script("text").alias("script"))
+_CYRILLIC, _CJ = "repeat('ж', {0}(text) + 1) || text", "text || repeat('漢か', {0}(text))"
+
+
+@query(f"SELECT doc_id, {_script_sql('a')} AS script, {_script_sql('b')} AS with_cyrillic, {_script_sql('c')} AS with_cj FROM (SELECT doc_id, {_majority_sql('text', 'a')}, {_majority_sql('(' + _CYRILLIC.format('len') + ')', 'b')}, {_majority_sql('(' + _CJ.format('len') + ')', 'c')} FROM documents)")
+def script_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of every document's own text, and of it with as many letters of another script and one more."""
+    columns = {"script": F.col("text"), "with_cyrillic": F.expr(_CYRILLIC.format("char_length")), "with_cj": F.expr(_CJ.format("char_length"))}
+    return _table(spark, sf_dir, "documents").select("doc_id", *(G.detect_script(c).alias(n) for n, c in columns.items()))
 
 
 def _marked(words: str) -> str:
@@ -134,10 +143,9 @@ def custom_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("p").cast("long").alias("n_segments"), _digest(F.col("p")).alias("segments_sha256"))
 
 
-@query(f"SELECT conv_id, turn, sha256(array_to_string({_marked(', |\\. | |\\?|!')}, chr(31))) AS segments_sha256 FROM conversations")
+@query(f"SELECT doc_id, sha256(array_to_string({_marked(', |\\. | |\\?|!')}, chr(31))) AS segments_sha256 FROM documents")
 def custom_separators_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", _digest(G.split_custom("text", OWN_SEPARATORS)).alias("segments_sha256"))
+    return _table(spark, sf_dir, "documents").select("doc_id", _digest(G.split_custom("text", OWN_SEPARATORS)).alias("segments_sha256"))
 
 
 @query(f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n_segments, sha256(array_to_string(p, chr(31))) AS segments_sha256 FROM (SELECT doc_id, {_marked(f'of the|in the|\\. |, |[{_q(_CLASS)}]')} AS p FROM documents)")
@@ -167,20 +175,16 @@ def camel_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARABIC_WORDS = ("السلام", "ال", "أن", "ٱلأحوال", "كيف", "آلاف", "إلى", "الا")
-_WORD = f"([{', '.join(f"'{w}'" for w in ARABIC_WORDS)}])[(conv_id + turn) % {len(ARABIC_WORDS)} + 1]"
 
 
-@query(f"SELECT conv_id, turn, array_to_string(CASE WHEN strlen(w) > 4 AND regexp_matches(w, '^[اأإآٱ]ل') THEN [substr(w, 1, 2), substr(w, 3)] ELSE [w] END, '|') AS parts FROM (SELECT conv_id, turn, {_WORD} AS w FROM conversations)")
+@query(
+    f"SELECT conv_id, turn, sha256(string_agg(CASE WHEN strlen(w) > 4 AND regexp_matches(w, '^[اأإآٱ]ل') THEN substr(w, 1, 2) || '|' || substr(w, 3) ELSE w END, chr(31) ORDER BY i)) AS parts_sha256 FROM "
+    f"(SELECT conv_id, turn, i, x || text AS w FROM conversations, (SELECT unnest([{', '.join(f"'{w}'" for w in ARABIC_WORDS)}]) AS x, unnest(range({len(ARABIC_WORDS)})) AS i)) GROUP BY conv_id, turn"
+)
 def arabic_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.element_at(F.array(*map(F.lit, ARABIC_WORDS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(ARABIC_WORDS))) + 1).cast("int"))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(G.split_arabic_article(word), "|").alias("parts"))
-
-
-@query("SELECT conv_id, turn, sha256(CASE WHEN strlen(w) > 4 AND regexp_matches(w, '^[اأإآٱ]ل') THEN substr(w, 1, 2) || '|' || substr(w, 3) ELSE w END) AS parts_sha256 FROM (SELECT conv_id, turn, 'ال' || text AS w FROM conversations)")
-def arabic_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The article set before the text of every turn."""
-    word = F.concat(F.lit("ال"), "text")
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.array_join(G.split_arabic_article(word), "|"), 256).alias("parts_sha256"))
+    """Every word set before the text of every turn."""
+    parts = [F.array_join(G.split_arabic_article(F.concat(F.lit(w), "text")), "|") for w in ARABIC_WORDS]
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.array_join(F.array(*parts), "\x1f"), 256).alias("parts_sha256"))
 
 
 SAMPLES = {"thai": "ภาษาไทยง่ายนิดเดียว", "khmer": "សួស្តីពិភពលោក", "german": "Donaudampfschifffahrtsgesellschaftskapitän", "chinese": "我从2025年开始学习Rust语言。", "japanese": "関西国際空港限定トートバッグ", "korean": "한국어의형태해석을"}
@@ -188,10 +192,10 @@ SAMPLES = {"thai": "ภาษาไทยง่ายนิดเดียว",
 
 @query()
 def dictionary_segmenters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segmenters that walk a lexicon, each on its sample and the text of every turn."""
-    rows, t = _table(spark, sf_dir, "conversations"), Tokenizer()
-    cut = [_digest(t.segment_with(F.concat(F.lit(s), "text"), name)).alias(name) for name, s in SAMPLES.items()]
-    return rows.select("conv_id", "turn", *cut)
+    """Segmenters that walk a lexicon, each on all samples and the text of every turn."""
+    text = F.concat(F.lit("".join(SAMPLES.values())), "text")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", Tokenizer().segment_with_each(text, SAMPLES).alias("s"))
+    return rows.select("conv_id", "turn", *(_digest(F.col(f"s.{name}")).alias(name) for name in SAMPLES))
 
 
 # -- tokens
@@ -202,17 +206,17 @@ def dictionary_segmenters(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(count(*) FILTER (separator_kind = 'soft') AS BIGINT) AS n_soft, sha256(string_agg(lemma, chr(31) ORDER BY pos)) AS lemmas_sha256 FROM tok GROUP BY doc_id"""
 )
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", Tokenizer().tokenize("text").alias("t"))
+    # the filter is on the text: one on the tokens would be moved below the function, and the function run twice
+    rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().tokenize("text").alias("t"))
     count = lambda f: F.size(F.filter("t", f)).cast("long")
-    out = rows.select(
+    return rows.select(
         "doc_id",
         F.size("t").cast("long").alias("n_tokens"),
         count(G.is_word).alias("n_words"),
         count(lambda t: G.separator_kind(t) == "hard").alias("n_hard"),
         count(lambda t: G.separator_kind(t) == "soft").alias("n_soft"),
-        _digest(F.transform("t", lambda t: t["lemma"])).alias("lemmas_sha256"),
+        _digest(F.col("t.lemma")).alias("lemmas_sha256"),
     )
-    return out.filter("n_tokens > 0")
 
 
 _OFFSETS = "sum(len(p)) OVER w AS ce, sum(strlen(p)) OVER w AS be"
@@ -221,17 +225,18 @@ _OFFSETS = "sum(len(p)) OVER w AS ce, sum(strlen(p)) OVER w AS be"
 @query(f"""WITH {_DOC_TOKENS}, o AS (SELECT doc_id, p, {_OFFSETS} FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, CAST(sum(ce - len(p)) AS BIGINT) AS char_starts, CAST(sum(ce) AS BIGINT) AS char_ends, CAST(sum(be - strlen(p)) AS BIGINT) AS byte_starts, CAST(sum(be) AS BIGINT) AS byte_ends FROM o GROUP BY doc_id""")
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", Tokenizer().segment("text").alias("t")).filter(F.size("t") > 0)
+    rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().segment("text").alias("t"))
     total = lambda f: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + t[f])
     return rows.select("doc_id", *(total(f).alias(f"{f}s") for f in ("char_start", "char_end", "byte_start", "byte_end")))
 
 
-@query(f"""WITH s AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS pos, unnest(p) AS p FROM (SELECT conv_id, turn, regexp_extract_all(text, '{SPLIT}') AS p FROM conversations)),
-o AS (SELECT conv_id, turn, p, {_OFFSETS} FROM s WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))
-SELECT conv_id, turn, p AS segment, CAST(ce - len(p) AS INT) AS char_start, CAST(ce AS INT) AS char_end, CAST(be - strlen(p) AS INT) AS byte_start, CAST(be AS INT) AS byte_end FROM o""")
+@query(f"""WITH {_DOC_TOKENS}, o AS (SELECT doc_id, pos, p, {_OFFSETS} FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(p || ':' || (ce - len(p)) || ':' || ce || ':' || (be - strlen(p)) || ':' || be, chr(31) ORDER BY pos)) AS offsets_sha256 FROM o GROUP BY doc_id""")
 def offsets_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.inline(G.with_offsets(G.segment_native("text"))))
+    """Offsets by built-in functions alone."""
+    rows = _texts(spark, sf_dir).select("doc_id", G.with_offsets(G.segment_native("text")).alias("o"))
+    told = F.transform("o", lambda x: F.concat_ws(":", x["segment"], x["char_start"], x["char_end"], x["byte_start"], x["byte_end"]))
+    return rows.select("doc_id", F.size("o").cast("long").alias("n"), _digest(told).alias("offsets_sha256"))
 
 
 @query("SELECT doc_id, true AS same FROM documents")
@@ -274,12 +279,23 @@ def stop_words_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_DOC_TOKENS} SELECT doc_id, CAST(sum(strlen(lemma)) AS BIGINT) AS byte_len, CAST(sum(strlen(p)) AS BIGINT) AS original_byte_len, CAST(sum(len(lemma)) AS BIGINT) AS char_count, CAST(sum(len(p)) AS BIGINT) AS original_char_count FROM tok GROUP BY doc_id""")
 def token_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", Tokenizer().tokenize("text").alias("t")).filter(F.size("t") > 0)
+    rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().tokenize("text").alias("t"))
     total = lambda f: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + f(t))
     return rows.select("doc_id", *(total(f).alias(f.__name__) for f in (G.byte_len, G.original_byte_len, G.char_count, G.original_char_count)))
 
 
-@query()
+_COVERED = "sum(n) OVER (PARTITION BY conv_id, turn, t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS t, unnest(p) AS p FROM (SELECT conv_id, turn, regexp_extract_all(text, '{SPLIT}') AS p FROM conversations)),
+    c AS (SELECT conv_id, turn, t, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (SELECT *, regexp_extract_all(p, '(?s).') AS cs FROM s)),
+    n AS (SELECT *, strlen({_lemma_sql("c")}) AS n FROM c),
+    k AS (SELECT *, coalesce({_COVERED}, 0) < 3 AS used FROM n),
+    a AS (SELECT conv_id, turn, count(*) FILTER (used) AS chars, sum(strlen(c)) FILTER (used) AS bytes FROM k GROUP BY conv_id, turn)
+    SELECT s.conv_id, s.turn, CAST(sum(strlen(p)) FILTER ({_lemma_sql("p")} <> p) AS BIGINT) AS bytes_mapped, CAST(any_value(chars) AS BIGINT) AS chars_covered, CAST(any_value(bytes) AS BIGINT) AS bytes_covered
+    FROM s JOIN a ON s.conv_id = a.conv_id AND s.turn = a.turn GROUP BY s.conv_id, s.turn"""
+)
 def char_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes mapped, and how much of the original the first three bytes of each lemma cover."""
     t = Tokenizer.builder().create_char_map().build()
@@ -295,7 +311,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(Tokenizer().normalize_text("text"), 256).alias("text_sha256"))
 
 
-@query()
+@query("SELECT conv_id, turn, true AS same FROM conversations")
 def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """segment() and then normalize_tokens() give what tokenize() gives."""
     t = Tokenizer()
@@ -339,7 +355,18 @@ for _name, (_function, _ending, _sql) in _TABLES.items():
 # -- detection
 
 
-@query()
+_LETTERS = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' '"
+
+
+@query(
+    f"""WITH d AS (SELECT row_number() OVER () AS k, code, {_LETTERS} AS t FROM (SELECT text, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' END AS code FROM documents)),
+    g AS (SELECT k, code, unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS g FROM d WHERE len(t) >= 3 AND t <> '  '),
+    p AS (SELECT code, g, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, g) - 1 AS rank FROM g WHERE code IS NOT NULL GROUP BY code, g QUALIFY rank < {language_model.TOP}),
+    r AS (SELECT k, g, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, g) - 1 AS rank FROM g GROUP BY k, g),
+    s AS (SELECT k, l.code AS found, sum(CASE WHEN p.g IS NULL THEN {language_model.TOP} ELSE least({language_model.TOP}, abs(p.rank - r.rank)) END) AS score FROM r, (SELECT DISTINCT code FROM p) l LEFT JOIN p ON p.code = l.code AND p.g = r.g GROUP BY k, l.code),
+    best AS (SELECT k, arg_min(found, (score, found)) AS found FROM s GROUP BY k)
+    SELECT code, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (code = found) AS BIGINT) AS n_right FROM d LEFT JOIN best USING (k) GROUP BY code"""
+)
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram profiles from the documents' own labels; how many of each language are told right."""
     docs = _table(spark, sf_dir, "documents").withColumn("code", F.element_at(F.create_map(*(F.lit(x) for kv in (("en", "eng"), ("fr", "fra"), ("de", "deu"), ("es", "spa")) for x in kv)), F.col("lang")))
@@ -349,19 +376,30 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("code").agg(F.count("*").alias("n"), F.count_if(F.col("code") == F.col("found")).alias("n_right"))
 
 
+_CODES, _NAMES = ", ".join(f"'{c}'" for c in tables.LANGUAGES), ", ".join(f"'{s}'" for s in tables.SCRIPTS if s not in ("Cj", "Other"))
+
+
 @query(
-    "SELECT code, code AS found, name FROM (VALUES "
-    + ", ".join(f"('{c}', '{n}')" for c, n in (("eng", "Latin"), ("zho", "Mandarin"), ("cmn", "other")))
-    + ") t(code, name) UNION ALL SELECT 'xxx', NULL, 'other'"
+    f"SELECT w, CASE WHEN w IN ({_CODES}) THEN w END AS code, CASE WHEN w = 'zho' THEN 'cmn' ELSE w END AS detector, CASE WHEN w = 'Mandarin' THEN 'Cj' WHEN w IN ({_NAMES}) THEN w ELSE 'Other' END AS script, CASE WHEN w = 'Mandarin' OR w IN ({_NAMES}) THEN w ELSE 'other' END AS name"
+    f" FROM (SELECT DISTINCT unnest(regexp_extract_all(text || ' eng zho xxx Latin Mandarin Cj Klingon', '{SPLIT}')) AS w FROM conversations)"
 )
 def enum_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("eng", "Latin"), ("zho", "Cj"), ("cmn", "Other"), ("xxx", "Klingon")], "code string, script string")
-    return rows.select("code", G.language_from_code("code").alias("found"), G.script_name(G.script_from_name(G.script_name("script"))).alias("name"))
+    """Every distinct segment of all turns, and some names, taken for a language's code and for a script's name."""
+    words = _table(spark, sf_dir, "conversations").select(F.explode(G.segment_native(F.concat("text", F.lit(" eng zho xxx Latin Mandarin Cj Klingon")))).alias("w")).distinct()
+    return words.select("w", G.language_from_code("w").alias("code"), G.detector_language("w").alias("detector"), G.script_from_name("w").alias("script"), G.script_name(G.script_from_name("w")).alias("name"))
 
 
-@query("SELECT source, relation, destination FROM (VALUES " + ", ".join(f"('{a}', '{r}', '{b}')" for a, r, b in lexicons.KVARIANTS) + ") t(source, relation, destination)")
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, _, b in lexicons.KVARIANTS)
+
+
+@query(f"SELECT conv_id, turn, CAST(count(*) FILTER (b IS NOT NULL) AS BIGINT) AS n_mapped, sha256(string_agg(coalesce(b, c), '' ORDER BY i)) AS text_sha256 FROM (SELECT conv_id, turn, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT conv_id, turn, text || '{''.join(a for a, _, _ in lexicons.KVARIANTS)}' AS t FROM conversations)) LEFT JOIN (VALUES {_PAIRS}) v(a, b) ON a = c GROUP BY conv_id, turn")
 def kvariant_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(lexicons.KVARIANTS), "source string, relation string, destination string")
+    """The table of variants joined with the characters of every turn."""
+    text = F.concat("text", F.lit("".join(a for a, _, _ in lexicons.KVARIANTS)))
+    pairs = spark.createDataFrame([(a, b) for a, _, b in lexicons.KVARIANTS], "a string, b string")
+    chars = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, "")).alias("i", "c")).withColumn("was", F.col("c"))
+    mapped = G.map_variants(chars, pairs, "c").groupBy("conv_id", "turn").agg(F.count_if(F.col("was") != F.col("c")).alias("n_mapped"), F.array_sort(F.collect_list(F.struct("i", "c"))).alias("s"))
+    return mapped.select("conv_id", "turn", "n_mapped", F.sha2(F.array_join(F.col("s.c"), ""), 256).alias("text_sha256"))
 
 
 _SEPARATOR_SQL = f"SELECT CAST(cp AS INT) AS cp, {_is_hard('chr(cp)')} AS hard FROM (SELECT CAST(range AS INT) AS cp FROM range(1, 55296) UNION ALL SELECT CAST(range AS INT) FROM range(57344, 131072)) WHERE {_is_separator('chr(cp)')}"
@@ -400,8 +438,7 @@ _CONTEXTS = f"{_DOC_TOKENS}, ctx AS (SELECT *, CAST(coalesce(sum(CASE WHEN separ
 
 @query(f"WITH {_CONTEXTS} SELECT doc_id, context, CAST(count(*) AS BIGINT) AS n_words FROM ctx WHERE kind = 'word' GROUP BY doc_id, context")
 def context_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = Tokenizer().explode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return analytics.context_lengths(tokens, ("doc_id",))
+    return analytics.context_lengths(_table(spark, sf_dir, "documents"), ("doc_id",))
 
 
 @query(
@@ -409,8 +446,7 @@ def context_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.lemma AS first, b.lemma AS second, CAST(count(*) AS BIGINT) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.context = b.context AND b.i BETWEEN a.i + 1 AND a.i + 2 GROUP BY 1, 2"""
 )
 def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = Tokenizer().explode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return analytics.proximity(tokens, ("doc_id",), within=2)
+    return analytics.proximity(_table(spark, sf_dir, "documents"), within=2)
 
 
 @query(f"WITH {_WORDS}, t AS (SELECT doc_id, lemma, CAST(count(*) AS BIGINT) AS tf FROM word GROUP BY ALL) SELECT doc_id, lemma, tf, CAST(count(*) OVER (PARTITION BY lemma) AS BIGINT) AS df FROM t")
@@ -448,9 +484,54 @@ def stream_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/conversations.parquet*")
     counts = Tokenizer().explode(stream.select("role", "text")).groupBy("role", "kind").agg(F.count("*").alias("n"))
-    run = counts.writeStream.outputMode("complete").format("memory").queryName("glyphflow_kinds").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table("glyphflow_kinds")
+    return run_to_table(counts, shared_path(spark, "kinds"))
+
+
+# -- normalisers of the engine, scripts beside Latin
+
+_ENGINE: dict[str, tuple[str, str | None, str, str]] = {
+    "lowercase": ("Greek", None, "ΑΓΑΠΗΤΟΣ ΣΑΣ", "lower(translate({0}, 'Σ', 'σ'))"),
+    "greek": ("Greek", None, "Αγαπητός", "regexp_replace({0}, 'ς\\z', 'σ')"),
+    "arabic": ("Arabic", "ara", "ٱلْحَمْدُ النهاردة يومى الحـــمد", "translate({0}, 'أإآٱىةـ', 'اااايه')"),
+    "persian": ("Arabic", "pes", "علي كيك ۱۲۳۴ چرا؟ ﷼", "replace(translate({0}, 'يیىۀكک۰۱۲۳۴۵۶۷۸۹،؟' || chr(8204), 'ییییکک0123456789,?'), '﷼', 'RIAL')"),
+    "nonspacing": ("Hebrew", None, "ง่าย כָּבוֹד", "regexp_replace({0}, '\\p{{Mn}}', '', 'g')"),
+    "chinese": ("Cj", "cmn", "澚䀾亚㮺刄刃", f"translate({{0}}, '{''.join(a for a, _, _ in lexicons.KVARIANTS)}', '{''.join(b for _, _, b in lexicons.KVARIANTS)}')"),
+    "japanese": ("Cj", "jpn", "ダメ駄目だめHi", f"translate({{0}}, '{''.join(chr(c) for c in range(0x30A1, 0x30F7))}', '{''.join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))}')"),
+    "vietnamese": ("Latin", "vie", "Ðại Đại", "translate({0}, 'ÐĐđð', 'dddd')"),
+    "turkish": ("Latin", "tur", "ışık", "translate({0}, 'ı', 'i')"),
+    "quote": ("Latin", None, "l’l‘l‛", "translate({0}, '’‘‛', '''''''')"),
+    "ae_oe": ("Latin", None, "œŒæÆ", "replace(replace(replace(replace({0}, 'œ', 'oe'), 'Œ', 'oe'), 'æ', 'ae'), 'Æ', 'ae')"),
+}
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"sha256({to.format(f"(text || ' {ending}')")}) AS {name}" for name, (_, _, ending, to) in _ENGINE.items()) + " FROM conversations")
+def engine_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single steps of the engine that tokenize() runs, by script and language, on every turn with an ending that they change."""
+    t, rows = Tokenizer(), _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", *(F.sha2(t.normalize_with(F.concat("text", F.lit(f" {ending}")), name, script, language), 256).alias(name) for name, (script, language, ending, _) in _ENGINE.items()))
+
+
+_RANGES = {"Persian": "می‌خواهم چرا", "Hiragana": "かな", "Katakana": "カナ", "Mandarin": "漢字", "Arabic": "العربية", "Khmer": "ខ្មែរ"}
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"regexp_matches(text, '[{(c := tables.char_class(tables.SCRIPT_RANGES.get(n) or tables.PART_RANGES[n]))}]') AS own_{n.lower()}, regexp_matches(text || '{e}', '[{c}]') AS {n.lower()}" for n, e in _RANGES.items()) + " FROM conversations")
+def script_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether letters of a script or a part of one occur in every turn, alone and with some set behind it."""
+    columns = [c for n, e in _RANGES.items() for c in (G.contains_script("text", n).alias(f"own_{n.lower()}"), G.contains_script(F.concat("text", F.lit(e)), n).alias(n.lower()))]
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", *columns)
+
+
+_LENGTHS = "SELECT conv_id, turn, sum(original_lengths(t, 2).bytes) AS bytes FROM (SELECT conv_id, turn, explode(tokenize(text)) AS t FROM glyphflow_turns) GROUP BY conv_id, turn"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{SPLIT}')) AS p FROM conversations), n AS (SELECT *, {_lemma_sql("p")} AS l FROM s),
+k AS (SELECT *, CASE WHEN strlen(substr(l, 1, 1)) >= 2 THEN 1 ELSE 2 END AS c FROM n)
+SELECT conv_id, turn, CAST(sum(strlen(substr(l, 1, c))) AS BIGINT) AS bytes FROM k GROUP BY conv_id, turn""")
+def sql_original_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without character maps, lengths are those of the lemma."""
+    sql.register(spark)
+    _table(spark, sf_dir, "conversations").createOrReplaceTempView("glyphflow_turns")
+    return spark.sql(_LENGTHS)
 
 
 #: The reference semantics on one text, for tests.

@@ -27,5 +27,6 @@ ORIGINAL = T.StructType([T.StructField("original", T.StringType(), False), T.Str
 TOKENS = T.ArrayType(TOKEN, False)
 RECONSTRUCTED = T.ArrayType(ORIGINAL, False)
 STRINGS = T.ArrayType(T.StringType(), False)
+COUNTS = T.ArrayType(T.StructType([T.StructField("lemma", T.StringType(), False), T.StructField("n", T.LongType(), False)]), False)
 
 ARROW_CHAR_MAP = pa.list_(pa.struct([("orig", pa.int16()), ("norm", pa.int16())]))

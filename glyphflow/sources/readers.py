@@ -1,7 +1,8 @@
 """Lexicons and variant tables come from files of any store that Spark reads.
 
 They are dictionaries of bounded size (a few MB); the readers check that before
-they bring one to the driver.
+they bring one to the driver.  Larger tables of words stay tables: see
+functions.mark_stop_words and functions.map_variants, which join them.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ def read_lexicon(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(sorted(r[0] for r in _entries(rows)))
 
 
+def read_words(rows: DataFrame) -> tuple[str, ...]:
+    """The distinct words of a table's first column (of a dictionary's size)."""
+    kept = rows.select(F.col(rows.columns[0]).cast("string").alias("w")).filter("w IS NOT NULL").distinct()
+    return tuple(sorted(r[0] for r in _entries(kept)))
+
+
 def read_stop_words(spark: SparkSession, path: str) -> frozenset[str]:
     return frozenset(read_lexicon(spark, path))
 

@@ -1,9 +1,9 @@
-"""SQL functions: tokenize, segment, segment_str, normalize_text, detect_script, detect_language, and tokenize_rows for LATERAL."""
+"""SQL functions: tokenize, segment, segment_str, normalize_text, detect_script, detect_language,
+original_lengths, and tokenize_rows for LATERAL."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -15,16 +15,16 @@ from .config import TokenizerConfig
 from .operators import tokenizer as op
 
 
-@dataclass(frozen=True)
-class _Row:
-    pos: int
-    segment: str
-    lemma: str
-    kind: str
-    separator_kind: str | None
-    script: str
-    language: str | None
-
+#: functions.original_lengths as an SQL function, of built-in ones.
+_STEP = "CASE WHEN a.seen < num_bytes THEN named_struct('chars', a.chars + 1, 'bytes', a.bytes + {0}, 'seen', a.seen + {1}) ELSE a END"
+_ZERO = "named_struct('chars', 0, 'bytes', 0, 'seen', 0)"
+_FINISH = "a -> named_struct('chars', a.chars, 'bytes', a.bytes)"
+_ORIGINAL_LENGTHS = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION original_lengths(token {schema.TOKEN.simpleString()}, num_bytes INT)
+RETURNS STRUCT<chars: INT, bytes: INT>
+RETURN CASE WHEN token.char_map IS NOT NULL
+    THEN aggregate(token.char_map, {_ZERO}, (a, x) -> {_STEP.format("CAST(x.orig AS INT)", "CAST(x.norm AS INT)")}, {_FINISH})
+    ELSE aggregate(regexp_extract_all(token.lemma, '(?s).', 0), {_ZERO}, (a, c) -> {_STEP.format("octet_length(c)", "octet_length(c)")}, {_FINISH}) END"""
 
 _ROWS = "pos int, segment string, lemma string, kind string, separator_kind string, script string, language string"
 
@@ -50,8 +50,13 @@ def register(spark: SparkSession, config: TokenizerConfig | None = None) -> None
 
     class TokenizeRows:
         def eval(self, text: str) -> Iterator[tuple]:
-            if text is not None:
-                for pos, (segment, script, language, (lemma, kind, hard, _)) in enumerate(core.engine(config).tokens(text)):
-                    yield tuple(asdict(_Row(pos, segment, lemma, kind, hard, script, language)).values())
-
-    spark.udtf.register("tokenize_rows", F.udtf(TokenizeRows, returnType=_ROWS))
+            if text is None:
+                return
+            pos, engine = 0, core.engine(config)
+            for parts, script, language in engine.segments(text):
+                for segment, (lemma, kind, *_) in zip(parts, engine.facts(parts, script, language), strict=True):
+                    yield pos, segment, lemma, *core.KINDS[kind], script, language
+                    pos += 1
+
+    spark.udtf.register("tokenize_rows", F.udtf(TokenizeRows, returnType=_ROWS, useArrow=True))
+    spark.sql(_ORIGINAL_LENGTHS)

@@ -1,5 +1,5 @@
 """The tokenizer on streams: stateless, and windowed counts of terms with a watermark."""
 
-from .terms import term_counts, tokenize_stream
+from .terms import run_to_table, shared_path, term_counts, tokenize_stream
 
-__all__ = ["term_counts", "tokenize_stream"]
+__all__ = ["run_to_table", "shared_path", "term_counts", "tokenize_stream"]

@@ -48,6 +48,14 @@ SCRIPT_RANGES: dict[str, Ranges] = {
     "Khmer": _ranges("1780-17FF 19E0-19FF"),
 }
 
+#: Alphabets that are parts of a script.
+PART_RANGES: dict[str, Ranges] = {
+    "Hiragana": _ranges("3040-309F"),
+    "Katakana": _ranges("30A0-30FF"),
+    "Mandarin": _ranges("2E80-2E99 2E9B-2EF3 2F00-2FD5 3005 3007 3021-3029 3038-303B 3400-4DB5 4E00-9FCC F900-FA6D FA70-FAD9"),
+    "Persian": _ranges("67E 686 698 6A9 6AF 6C0 6CC 6F0-6F9"),
+}
+
 #: Scripts that no code point decides (a detector may still name them).
 SCRIPTS: tuple[str, ...] = (*SCRIPT_RANGES, "Armenian", "Other")
 
@@ -61,6 +69,11 @@ def language_from_code(code: str) -> str | None:
     return code if code in LANGUAGES else None
 
 
+def detector_language(code: str) -> str:
+    """The code under which detectors know a language: they have one for Chinese."""
+    return "cmn" if code == "zho" else code
+
+
 def script_name(script: str) -> str:
     return {"Cj": "Mandarin", "Other": "other"}.get(script, script)
 
@@ -88,6 +101,11 @@ def _script_starts() -> tuple[list[int], list[str]]:
     return starts, names
 
 
+def is_in(char: str, name: str) -> bool:
+    """Whether a character is in the ranges of a script or of a part of one."""
+    return _in(ord(char), SCRIPT_RANGES.get(name) or PART_RANGES[name])
+
+
 @cache
 def script_of(char: str) -> str:
     starts, names = _script_starts()
@@ -184,10 +202,9 @@ def alternation(words: tuple[str, ...] | frozenset[str]) -> str:
     return "|".join(literal(w) for w in sorted({w for w in words if w}, key=lambda w: (-len(w), w)))
 
 
-def custom_split_pattern(words: tuple[str, ...]) -> str:
-    """Matches of the words and the gaps between them (Java and Python: lookahead)."""
-    alt = alternation(words)
-    return f"(?s)(?:{alt})|(?:(?!{alt}).)+"
+def gap_pattern(words: tuple[str, ...]) -> str:
+    """Group 1: a gap; group 2: the word after it, empty at the end of the text."""
+    return f"(?s)(.*?)({alternation(words)}|\\z)"
 
 
 @cache

@@ -175,3 +175,21 @@ def test_groups_against_a_state_machine():
     for _ in range(3000):
         text = "".join(rng.choice("ab1 .漢かア한ทاя，é\n") for _ in range(rng.randint(1, 14)))
         assert engine.groups_of(text) == machine_groups(text)
+
+
+@pytest.mark.parametrize(
+    "text,script,allow,found",
+    [
+        ("и это не так, что он", "Cyrillic", None, "rus"), ("і це не так, що він є", "Cyrillic", None, "ukr"), ("той се е с това за да", "Cyrillic", None, "bul"), ("ён і яна, гэта ў", "Cyrillic", None, "bel"),
+        ("і він", "Cyrillic", ("bul", "ukr"), "ukr"), ("абв", "Cyrillic", ("bul", "ukr"), "ukr"), ("абв", "Cyrillic", ("eng",), None), ("आणि हे आहे ळ", "Devanagari", None, "mar"), ("यह है और", "Devanagari", None, "hin"),
+        ("די און איז", "Hebrew", None, "yid"), ("של את על", "Hebrew", None, "heb"), ("پچ", "Arabic", None, "pes"), ("پچ", "Arabic", ("ara", "eng"), "ara"), ("ٹڈ", "Arabic", None, "urd"), ("かな", "Cj", ("cmn",), "cmn"), ("ב", "Hebrew", (), None),
+    ],
+)
+def test_languages_of_shared_scripts(text, script, allow, found):
+    assert core.detect_language(text, script, allow) == found
+
+
+def test_ranges_of_parts():
+    for name, inside, outside in (("Persian", "پ۰", "با"), ("Hiragana", "か", "カ"), ("Katakana", "カ", "漢"), ("Mandarin", "漢々", "かカ"), ("Khmer", "ក", "a")):
+        assert all(tables.is_in(c, name) for c in inside) and not any(tables.is_in(c, name) for c in outside)
+    assert tables.detector_language("zho") == "cmn" and tables.detector_language("eng") == "eng"

@@ -64,7 +64,7 @@ def test_columns_are_the_semantics(texts):
 
 def test_scripts_of_own_and_mixed_texts(spark, sf_dir, texts):
     """No text is replaced: own texts, alone and with enough of another script, and mixed strings."""
-    got = {r["doc_id"]: r["script"] for r in QUERIES["script_of_text"](spark, sf_dir).collect()}
+    got = {r["doc_id"]: r["script"] for r in QUERIES["script_majority"](spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert got == {r["doc_id"]: core.detect_script(r["text"]) for r in docs.select("doc_id", "text").collect()}
     mixed = [*(t for t in TEXTS if t is not None), "12 - 34", "Жжж ab", "ab 漢か漢か", "ab жя", "한국어 a", "ภาษา ab", "العربية ab"]
@@ -131,3 +131,64 @@ def test_without_the_corpus_operators(tmp_path):
         (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     done = subprocess.run([sys.executable, "-m", "pytest", "tests/test_core.py", "-x", "-q", "-p", "no:cacheprovider"], cwd=copy, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": str(copy)})
     assert done.returncode == 0, done.stdout
+
+
+ONCE = ["tokenize", "token_offsets", "token_measures", "classify_kinds", "context_lengths", "proximity", "dictionary_segmenters", "number_atoms", "bigram_counts", "doc_frequency", "char_maps"]
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_texts_are_tokenized_once(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+
+
+def test_long_texts_by_built_in_functions(spark):
+    """1 MB texts with characters beyond the basic plane, with and without separators."""
+    texts = ["é😀" * 170_000, "é😀 ab, " * 90_000, "x" * 1_000_000, ", " * 500_000, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(5)
+    own = core.engine(TokenizerConfig(separators=(" ", ", ")))
+    for r in rows.select("id", G.split_custom("text", [" ", ", "]).alias("p")).collect():
+        assert r["p"] == (own.split(texts[r["id"]]) if texts[r["id"]] else [])
+    found = rows.select("id", G.with_offsets(G.split_separators("text")).alias("o"))
+    last = {r["id"]: (r["n"], r["e"], r["b"]) for r in found.select("id", F.size("o").alias("n"), F.element_at("o.char_end", -1).alias("e"), F.element_at("o.byte_end", -1).alias("b")).filter("n > 0").collect()}
+    want = core.engine(TokenizerConfig())
+    assert last == {i: (len(want.split(t)), len(t), len(t.encode())) for i, t in enumerate(texts) if t}
+    assert found.filter("id = 4").select(F.size("o")).first()[0] == 0
+
+
+def test_own_segmenters_and_normalizers(spark):
+    def halves(text: str) -> list[str]:
+        return [p for p in (text[: len(text) // 2], text[len(text) // 2 :]) if p]
+
+    def is_greek(lemma: str, script: str, language: str | None) -> bool:
+        return script == "Greek"
+
+    t = Tokenizer.builder().segmenter("Greek", None, halves).normalizer("shout", is_greek, lambda c: c.upper()).create_char_map().build()
+    row = spark.createDataFrame([("αβγδ abcd",)], "text string").select(t.segment_str("text").alias("s"), t.tokenize("text").alias("t")).first()
+    assert row["s"] == ["αβ", "γδ", " ", "abcd"] and [x["lemma"] for x in row["t"]] == ["ΑΒ", "ΓΔ", " ", "abcd"]
+    with pytest.raises(ValueError):
+        Tokenizer.builder().segmenter("Runes", None, halves)
+    assert t.normalize_with("text", "shout", "Greek") is not None
+    one = spark.createDataFrame([("ŒUVRE’s",)], "text string").select(Tokenizer().normalize_with("text", "ae_oe", "Latin").alias("a"), Tokenizer().normalize_with("text", "ae_oe", "Greek").alias("b"), Tokenizer().normalize_with("text", "ae_oe", "Greek", gated=False).alias("c")).first()
+    assert tuple(one) == ("oeUVRE’s", "ŒUVRE’s", "oeUVRE’s")
+    with pytest.raises(ValueError):
+        Tokenizer().normalize_with("text", "nothing")
+
+
+def test_stop_words_and_variants_from_tables(spark):
+    words = spark.createDataFrame([("the",), ("the",), (None,), ("of",)], "w string")
+    t = Tokenizer.builder().stop_words(words).build()
+    assert t.config.stop_words == {"the", "of"}
+    kinds = spark.createDataFrame([("the end of it",)], "text string").select(t.tokenize("text").alias("t")).first()["t"]
+    assert [x["lemma"] for x in kinds if x["kind"] == "stop_word"] == ["the", "of"]
+    rows = spark.createDataFrame([("亚",), ("x",), (None,)], "lemma string")
+    got = G.map_variants(rows, spark.createDataFrame([("亚", "亞")], "a string, b string"))
+    assert sorted(map(str, (r[0] for r in got.collect()))) == ["None", "x", "亞"]
+
+
+def test_buffers(spark):
+    thai = TokenizerConfig(lexicons=(("thai", ("ไก่", "บน")),))
+    assert core.segmenter("thai", thai)("กขคไก่งจบน") == ["ก", "ข", "ค", "ไก่", "ง", "จ", "บน"]
+    for n, want in ((None, ["กขค", "ไก่", "งจ", "บน"]), (2, ["กข", "ค", "ไก่", "งจ", "บน"]), (1, ["ก", "ข", "ค", "ไก่", "ง", "จ", "บน"])):
+        t = Tokenizer.builder().lexicon("thai", ["ไก่", "บน"]).buffer("thai", n).build()
+        assert core.segmenter("thai", t.config)("กขคไก่งจบน") == want
