@@ -414,30 +414,51 @@ def test_keep_one(docs, rows):
     assert all(n == 1 for i, n in got.items() if i not in (None, 6))
 
 
-def test_forest_depth_and_recall():
-    depth = ngram_join.depth_for()
-    assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= ngram_join.TARGET > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
-    rng = np.random.default_rng(0)
-    found = 0
-    for _ in range(300):
-        grams = rng.integers(0, 1 << 63, 220, dtype=np.uint64)
-        a, b = grams[:200], grams[22:]  # similarity 178 / 220 = 0.81
-        found += bool((ngram_join.prefixes(ngram_join.signature(a), depth) == ngram_join.prefixes(ngram_join.signature(b), depth)).any())
-    assert found >= 0.98 * 300
-
-
-def test_recall_at_the_threshold():
-    """Similarity 0.80 exactly: no hash serves two trees, and the recall promised there is measured."""
-    depth = ngram_join.depth_for()
-    used = ngram_join._ORDERS[:, :depth]
-    assert len(np.unique(used)) == used.size and used.max() < ngram_join.TREES * depth
+def test_forest_depth_follows_the_similarities():
+    """Deep where all pairs are nearly equal, shallow where they are at the threshold or nothing is known."""
+    assert ngram_join.depth_for(np.array([0.99]), np.ones(1), 0.999) == ngram_join.DEEPEST
+    alone = ngram_join.depth_for(*ngram_join.all_pairs({}, ngram_join.DEEPEST, 0.8), 0.999)
+    assert ngram_join.met(0.8, alone) >= 0.999 > ngram_join.met(0.8, alone + 1)
+    some = [ngram_join.depth_for(*ngram_join.all_pairs({80: n, 98: 10_000}, ngram_join.DEEPEST, 0.8), 0.999) for n in (0, 10, 1000, 100_000)]
+    assert some == sorted(some, reverse=True) and some[0] > some[-1] == alone
+    similarities, weights = ngram_join.all_pairs({80: 90}, ngram_join.DEEPEST, 0.8)
+    assert weights[1] == pytest.approx(90 / ngram_join.met(similarities[1], ngram_join.DEEPEST))
+
+
+@pytest.mark.parametrize("depth", [5, 8, 12])
+def test_recall_at_the_threshold(depth):
+    """Similarity 0.80 exactly: the share of pairs met is the one that the estimate goes by."""
     rng = np.random.default_rng(5)
     found = 0
-    for _ in range(6000):
+    for _ in range(1500):
         grams = common.mix(rng.integers(0, 1 << 63, 270, dtype=np.uint64))
-        a, b = (ngram_join.prefixes(ngram_join.signature(g, ngram_join.TREES * depth), depth) for g in (grams[:243], grams[27:]))  # 216 / 270
+        a, b = (ngram_join.prefixes(ngram_join.signature(g), depth) for g in (grams[:243], grams[27:]))  # 216 / 270
         found += bool((a == b).any())
-    assert found >= 0.995 * 6000
+    p = float(ngram_join.met(0.8, depth))
+    assert abs(found / 1500 - p) <= 0.005 + 3 * (p * (1 - p) / 1500) ** 0.5
+
+
+def test_prefixes_are_shortened(spark, monkeypatch):
+    """Pairs near the threshold: the forest is read at more than one depth and all links are found in the end."""
+    rng, depths = random.Random(8), []
+    docs = []
+    for i in range(150):
+        words = prose(rng, 60).split()
+        docs.append((2 * i, " ".join(words)))
+        words[30] = "other"  # 51 of 61 runs
+        docs.append((2 * i + 1, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    once = ngram_join._compared
+    monkeypatch.setattr(ngram_join, "_compared", lambda *args: depths.append(args[3]) or once(*args))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similar(frame).collect()}
+    assert depths[0] == ngram_join.DEEPEST and len(depths) > 1 and depths == sorted(depths, reverse=True)
+    assert got == {i: (i // 2 * 2, 1) for i in range(300)}
+
+
+def test_tiles_are_bounded_in_bytes(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_BYTES", 3000)
+    got = ngram_join.similar(docs).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in got) == join_brute(rows)
 
 
 def test_stars():
