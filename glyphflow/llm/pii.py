@@ -5,7 +5,7 @@ allows, numbered), permuted by a keyed Feistel network over that range, and
 written back in the same format: a card number becomes another card number with a
 right check digit, a date another date written alike.  Equal values get equal
 pseudonyms in all documents, whatever stands around them, and the key holder can
-undo it.
+undo it.  There is no key in this library: the caller gives one.
 
 Kinds, in the order in which overlapping finds are settled (fixed values):
 email; ip (four parts up to 255); card (13 to 19 digits, right Luhn digit, one
@@ -20,7 +20,7 @@ the range are sent through again (cycle walking), which ends inside the range.
 A value may be its own image, as in any permutation: with probability one in the
 size of the range (the smallest: 73,049 dates; very short mail names).
 
-Scale: a map without a shuffle; rows without a digit or an @ are passed through
+Scale: a map without a shuffle, linear in the text however many finds it has; rows without a digit or an @ are passed through
 after one look.
 
 Edge cases: null text stays null and has no finds; empty text stays empty; values
@@ -41,7 +41,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = b"glyphflow pseudonyms"
 ROUNDS = 10
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -223,10 +222,12 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
 
 @dataclass
 class Pseudonymizer:
-    key: bytes = KEY
+    key: bytes
     known: dict[tuple[str, str], str | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        if not self.key or len(self.key) > 64:
+            raise ValueError("a key of 1 to 64 bytes is needed")
         self.patterns = [(k, re.compile(p), f) for k, (p, f) in KINDS.items()]
 
     def replacement(self, kind: str, rewrite: Callable[[str, bytes, bool], str | None], value: str, undo: bool) -> str | None:
@@ -241,12 +242,15 @@ class Pseudonymizer:
     def spans(self, text: str, undo: bool = False) -> list[tuple[int, int, str, str]]:
         """Start, end, kind and pseudonym of all finds, in order, none overlapping."""
         found: list[tuple[int, int, str, str]] = []
+        taken = bytearray(len(text))  # characters of finds so far
         for kind, pattern, rewrite in self.patterns:
             if kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                if not any(s < m.end() and m.start() < e for s, e, _, _ in found) and (new := self.replacement(kind, rewrite, m[0], undo)) is not None:
-                    found.append((m.start(), m.end(), kind, new))
+                s, e = m.span()
+                if not any(taken[s:e]) and (new := self.replacement(kind, rewrite, m[0], undo)) is not None:
+                    found.append((s, e, kind, new))
+                    taken[s:e] = b"\1" * (e - s)
         return sorted(found)
 
     def __call__(self, text: str, undo: bool = False) -> tuple[str, list[tuple[int, int, str, str]]]:
@@ -266,8 +270,9 @@ SPAN = "array<struct<start:int,stop:int,kind:string>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = KEY, spans_col: str | None = None) -> DataFrame:
-    """docs with text_col rewritten in place; with spans_col, a column of the finds (code points of the old text) more."""
+def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = None) -> DataFrame:
+    """docs with text_col rewritten in place, by a key of 1 to 64 bytes that whoever runs it keeps secret; with spans_col, a column of the finds (code points of the old text) more."""
+    Pseudonymizer(key)
     at = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     if spans_col:
@@ -290,7 +295,7 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = KEY, span
     return docs.mapInArrow(run, schema)
 
 
-def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def report(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, the rewritten text, the finds and their number."""
-    out = pseudonymize(docs.select("doc_id", "text"), key=key, spans_col="spans")
+    out = pseudonymize(docs.select("doc_id", "text"), key, spans_col="spans")
     return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_found"), "spans")

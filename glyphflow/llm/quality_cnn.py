@@ -11,9 +11,10 @@ smallest hashes, with all of their chunks as in scoring, on the driver, PIECE
 chunks at a time; only rows outside the held-out fold.  The class shares of all training
 labels correct the intercept, as the sample is balanced.  Same rows, same model.
 
-Scale: scoring is a map without a shuffle; a worker holds the chunks of a few
-hundred kB of text at once.  The sample's ids are broadcast (2 * SAMPLE rows at
-most), so no text is shuffled for training either.
+Scale: scoring is a map without a shuffle; a worker holds PIECE chunks and the pooled
+vectors (128 bytes a chunk) of a few hundred kB of text, or of one longer text, at once.
+The sample's ids are broadcast (2 * SAMPLE rows at most), so only the sample's texts are
+shuffled and collected for training, one an id and label.
 
 Edge cases: null and empty texts have no chunk, their pooled vectors are zeros and
 the intercept makes their score; without labels of both classes every score is
@@ -24,6 +25,7 @@ is that of the empty text.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE = 1000
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
 #: Chunks that are looked at at once.
 PIECE = 1024
 CHUNK, STEP = 256, 240
@@ -48,28 +51,63 @@ THRESHOLD = 0.7
 
 
 def repeats(texts: list[bytes]) -> np.ndarray:
-    """Of each byte of the texts joined by line feeds, whether its word is the one before it again."""
-    hashes, starts, ends = common.word_spans(texts)
-    step = np.zeros(sum(map(len, texts)) + len(texts) + 1, np.int8)
-    again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
-    step[starts[again]] += 1
-    step[ends[again]] -= 1
-    return np.cumsum(step[:-1], dtype=np.int8)
+    """Of each byte of the texts joined by line feeds, whether its word is the one before it in the same text again."""
+    out = np.zeros(sum(map(len, texts)) + len(texts), np.int8)
+    begin = 0
+    for part in common.groups(texts, common.CHUNK):
+        buf = b"\n".join(texts[part]) + b"\n"
+        first = begin + common.starts_of(np.array([len(t) + 1 for t in texts[part]]))
+        at, last = 0, None
+        while at < len(buf):  # a long text in pieces that end at white space
+            to = min(len(buf), at + common.CHUNK)
+            if to < len(buf) and (m := _SPACE.search(buf, to)):
+                to = m.end()
+            elif to < len(buf):
+                to = len(buf)
+            hashes, starts, ends = common.word_spans([buf[at:to]])
+            if len(hashes):
+                again = np.concatenate([[last is not None and hashes[0] == last], hashes[1:] == hashes[:-1]])
+                starts, ends = starts + begin + at, ends + begin + at
+                text = np.searchsorted(first, starts, "right")
+                again[1:] &= text[1:] == text[:-1]
+                step = np.zeros(to - at + 1, np.int8)
+                step[starts[again] - begin - at] += 1
+                step[ends[again] - begin - at] -= 1
+                out[begin + at : begin + to] = np.cumsum(step[:-1], dtype=np.int8)
+                last = hashes[-1] if len(texts[part]) == 1 else None
+            at = to
+        begin += len(buf)
+    return out
+
+
+class Chunks:
+    """The chunks of some texts, made in pieces: whole texts are held as two bytes a byte."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.counts = np.where(self.lengths > 0, np.maximum(0, -(-(self.lengths - CHUNK) // STEP)) + 1, 0)
+        self._begin, self._first = common.starts_of(self.lengths + 1), common.starts_of(self.counts)
+        self._data = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(CHUNK), np.uint8)
+        self._again = np.concatenate([repeats(texts), np.zeros(CHUNK, np.int8)])
+
+    def __len__(self) -> int:
+        return int(self.counts.sum())
+
+    def piece(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes (0 beyond the text) and repeat channel of the chunks lo to hi."""
+        k = np.arange(lo, min(hi, len(self)))
+        doc = np.searchsorted(np.cumsum(self.counts), k, "right")
+        at = (k - self._first[doc]) * STEP
+        inside = (at[:, None] + np.arange(CHUNK)) < self.lengths[doc][:, None]
+        where = np.minimum((self._begin[doc] + at)[:, None] + np.arange(CHUNK), len(self._data) - 1)
+        return np.where(inside, self._data[where], 0), np.where(inside, self._again[where], 0).astype(np.uint8)
 
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (0 beyond the text) and repeat channel of all chunks of all texts, and how many each text has."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    counts = np.where(lengths > 0, np.maximum(0, -(-(lengths - CHUNK) // STEP)) + 1, 0)
-    begin = common.starts_of(lengths + 1)
-    data = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(CHUNK), np.uint8)
-    again = np.concatenate([repeats(texts), np.zeros(CHUNK, np.int8)])
-    doc = np.repeat(np.arange(len(texts)), counts)
-    at = (np.arange(len(doc)) - common.starts_of(counts)[doc]) * STEP if len(doc) else np.zeros(0, np.int64)
-    where = (begin[doc] + at)[:, None] + np.arange(CHUNK)
-    inside = (at[:, None] + np.arange(CHUNK)) < lengths[doc][:, None]
-    where = np.minimum(where, len(data) - 1)
-    return np.where(inside, data[where], 0), np.where(inside, again[where], 0).astype(np.uint8), counts
+    """Bytes and repeat channel of all chunks of all texts, and how many each text has."""
+    c = Chunks(texts)
+    pieces = [c.piece(i, i + PIECE) for i in range(0, len(c), PIECE)] or [(np.zeros((0, CHUNK), np.uint8),) * 2]
+    return np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]), c.counts
 
 
 @dataclass
@@ -108,9 +146,9 @@ class Network:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = [np.zeros(0)]
         for part in common.groups(texts, GROUP):
-            data, again, counts = chunks(texts[part])
-            pooled = [self.pooled(data[i : i + PIECE], again[i : i + PIECE]) for i in range(0, len(data), PIECE)]
-            logits = self.features(np.concatenate(pooled) if pooled else np.zeros((0, FILTERS), np.float32), counts) @ self.out + self.intercept
+            c = Chunks(texts[part])
+            pooled = [self.pooled(*c.piece(i, i + PIECE)) for i in range(0, len(c), PIECE)]
+            logits = self.features(np.concatenate(pooled) if pooled else np.zeros((0, FILTERS), np.float32), c.counts) @ self.out + self.intercept
             out.append(1 / (1 + np.exp(-logits.astype(np.float64))))
         return np.concatenate(out)
 
@@ -192,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return constant(prior)
     pick = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct() for k in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * sample rows at most
-    rows = docs.select(F.col(id_col).alias("doc_id"), common.as_bytes(text_col)).join(chosen, "doc_id").select("label", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), common.as_bytes(text_col)).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row of an id and label, however often it is repeated
 
     got = sorted((r["label"], bytes(r["text"])) for r in rows.collect() if r["text"])
     return train([(label, *chunks([text])[:2]) for label, text in got], prior)

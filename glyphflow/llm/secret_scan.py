@@ -95,7 +95,9 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied: int = COPIED) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied of every row."""
     found = common.cut(find(docs, id_col, text_col, repo_col, owner_col))
-    judged = found.join(ownership(found), "value").withColumn("live", F.col("n_owners") < copied)
+    # ownership is grouped by value; with a second key both sides are shuffled for the join, and AQE can split a hot value
+    owned = ownership(found).withColumn("h", F.xxhash64("value"))
+    judged = found.withColumn("h", F.xxhash64("value")).join(owned, ["value", "h"]).withColumn("live", F.col("n_owners") < copied)
     base = F.col("kind") < BASE
     span = F.struct("start", "kind", "stop")
     spans = judged.groupBy("doc_id", "body", "repo", "owner").agg(

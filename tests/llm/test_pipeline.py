@@ -12,6 +12,7 @@ from test_corpus import contaminated_brute, join_brute, prose
 
 import corpus_pipeline
 from glyphflow.llm import common, pii, quality_cnn
+from glyphflow.llm.queries import DEMO_KEY
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +39,7 @@ def test_stages_and_run(spark, tables):
 
     at, rows, items = tables
     network = quality_cnn.fit(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
-    tok, hide = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), pii.Pseudonymizer()
+    tok, hide = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), pii.Pseudonymizer(DEMO_KEY)
 
     def quality(rows):
         good = network.scores([t.encode() for _, t in rows]) >= quality_cnn.THRESHOLD
