@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.llm import bpe, common, decontaminate, ngram_join, pii, quality_cnn
+from glyphflow.llm.queries import DEMO_KEY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,8 +30,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms in the text; n_chars follows the text."""
-    out = pii.pseudonymize(docs)
+    """Personal data become pseudonyms in the text, by the key in spark.glyphflow.pii.key; n_chars follows the text."""
+    key = spark.conf.get("spark.glyphflow.pii.key", None)
+    out = pii.pseudonymize(docs, key.encode() if key else DEMO_KEY)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
 
 
