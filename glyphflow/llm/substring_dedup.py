@@ -1,12 +1,15 @@
 """Removal of repeated passages by level-wise doubling.
 
-Level 1: runs of HALF = 7 words.  Every window of 13 words holds seven of them, and
-the one with the smallest hash, which its words alone decide, stands for it; so
-about a quarter of all 7-word runs have to be compared, and a 13-word window that
-repeats has a repeated representative.  Level 2: only windows over a
-representative that two documents share are extended to 13 words (two 7-word runs
-that overlap by one) and compared in turn.  Nothing longer is needed: a longer
-repeat is covered by its 13-word windows.  A level without candidates ends it.
+Lengths double from START words up to WINDOW (7, then 13 for the windows of 13 words
+that are asked for; 7, 14, 28, 50 for windows of 50).  At each length only what was
+repeated at the one before is extended and compared; a length without candidates leaves
+none for the next, and its tasks have nothing to read.
+
+Below WINDOW, a window is stood for by one of its runs of that length: the one with the
+smallest hash, which its words alone decide; so about a quarter of all 7-word runs have
+to be compared, and a window that repeats has a repeated representative at every length.
+Windows over a run that two documents share go on.  At WINDOW words all that are left
+are compared.  Nothing longer is needed: a longer repeat is covered by its windows.
 
 A word is removed if a window over it, by the input's words, also starts in a
 document with a smaller id.
@@ -15,20 +18,21 @@ Each comparison is one shuffle by hash, sorted within the tasks, and read as a
 stream: the first row of a run of equal hashes has the smallest id.  A map task
 compares what it holds first and sends one row a hash and group of texts, so a
 passage in a third of all documents sends a row per 4 MB of text.  Texts move
-compressed, by id; positions found go to them by the same key.
+compressed, by id, once for all levels; positions found go to them by the same key.
 
 Windows compare by 64-bit hashes of 64-bit word hashes.
 
-Edge cases: null and empty texts have no words; texts of under 13 words keep all;
+Edge cases: null and empty texts have no words; texts of under WINDOW words keep all;
 rows with a null id neither remove nor lose anything; rows with the same id don't
 count as smaller for each other, whether their texts differ or not (texts with one
-id are told apart by 24 bits of their hash); an empty table gives an empty result;
+id are told apart by 31 bits of their hash); an empty table gives an empty result;
 only the columns named are looked at.  Ids are whole numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +42,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HALF, WINDOW = 7, 13
-INSIDE = WINDOW - HALF + 1
+START, WINDOW = 7, 13
 
 _ROWS = "h long, doc_id long, pk long"
 
 
-def representatives(words: np.ndarray) -> np.ndarray:
-    """Of each 13-word window of the words, the smallest hash of its 7-word runs."""
-    m = common.gram_hashes(words, HALF)
-    width = 1
-    while width < INSIDE:  # minimum over doubled widths
-        step = min(width, INSIDE - width)
+def lengths(window: int = WINDOW, start: int = START) -> list[int]:
+    """Each twice the one before, or as long as the window: neighbours in a run overlap by as much as is too many."""
+    out = [min(start, window)]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
+    return out
+
+
+def representatives(words: np.ndarray, length: int, window: int = WINDOW) -> np.ndarray:
+    """Of each window of the words, the smallest hash of its runs of this length."""
+    m = common.gram_hashes(words, length)
+    width, inside = 1, window - length + 1
+    while width < inside:  # minimum over doubled widths
+        step = min(width, inside - width)
         m = np.minimum(m[:-step], m[step:]) if len(m) > step else m[:0]
         width += step
     return m
@@ -58,15 +69,19 @@ def representatives(words: np.ndarray) -> np.ndarray:
 class Batch:
     """Windows of a group of texts: document number of each, and whether it lies in one document."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], window: int = WINDOW) -> None:
         self.words, self.counts = common.word_hashes(texts)
-        self.first = common.starts_of(self.counts)
-        many = np.maximum(0, self.counts - WINDOW + 1)
+        self.window, self.first = window, common.starts_of(self.counts)
+        many = np.maximum(0, self.counts - window + 1)
         self.doc = np.repeat(np.arange(len(texts)), many)
         #: index of each window's first word among all words, and within its document
         self.local = np.arange(len(self.doc)) - common.starts_of(many)[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         self.at = self.first[self.doc] + self.local if len(self.doc) else self.local
 
+    def values(self, length: int) -> np.ndarray:
+        """What stands for each window at a length."""
+        return representatives(self.words, length, self.window)[self.at]
+
     def keyed(self, values: np.ndarray) -> np.ndarray:
         """Values that are equal only within one document."""
         return common.mix(values + common.mix(self.doc.astype(np.uint64) + np.uint64(1)))
@@ -75,7 +90,7 @@ class Batch:
         """Windows that have the value of one of the windows named by document and place."""
         if not len(doc):
             return np.zeros(len(values), bool)
-        begin = np.concatenate([[0], np.cumsum(np.maximum(0, self.counts - WINDOW + 1))])
+        begin = np.concatenate([[0], np.cumsum(np.maximum(0, self.counts - self.window + 1))])
         keyed = self.keyed(values)
         return np.isin(keyed, np.unique(keyed[begin[doc] + local]))
 
@@ -100,7 +115,7 @@ def compare(values: np.ndarray, doc: np.ndarray, local: np.ndarray, ids: np.ndar
         more = np.zeros(len(begins), bool)
         more[group[~first]] = True
         shared = more[group]
-    pk = tags[doc] << 40 | local << 1
+    pk = tags[doc] << 32 | local << 1
     send, tell = np.flatnonzero(first), np.flatnonzero(shared)
     spread = common.mix(pk[tell].astype(np.uint64) ^ common.mix(one[tell].astype(np.uint64)))
     h = np.concatenate([values[send], spread]).view(np.int64)
@@ -138,7 +153,7 @@ def _found(first_too: bool):
                     out.append(np.stack([one, pk])[:, later])
                 smallest = (int(h[-1]), int(least[-1]))
             one, pk = np.concatenate(out, 1)
-            yield pa.record_batch([pa.array(one), pa.array((pk >> 40).astype(np.int32)), pa.array((pk >> 1 & ((1 << 39) - 1)).astype(np.int32))], names=["doc_id", "tag", "at"])
+            yield pa.record_batch([pa.array(one), pa.array((pk >> 32).astype(np.int32)), pa.array((pk >> 1 & ((1 << 31) - 1)).astype(np.int32))], names=["doc_id", "tag", "at"])
 
     return run
 
@@ -150,12 +165,15 @@ def _level(rows: DataFrame, first_too: bool) -> DataFrame:
     return found.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
 
 
-def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, tags, texts = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_pylist()
-        for part in common.groups(texts):
-            w = Batch(texts[part])
-            yield compare(representatives(w.words)[w.at], w.doc, w.local, ids[part], tags[part], True)
+def _first_level(length: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, tags, texts = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_pylist()
+            for part in common.groups(texts):
+                w = Batch(texts[part], window)
+                yield compare(w.values(length), w.doc, w.local, ids[part], tags[part], length < window)
+
+    return run
 
 
 def _unpack(b: pa.RecordBatch, part: slice | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +183,21 @@ def _unpack(b: pa.RecordBatch, part: slice | None = None) -> tuple[np.ndarray, n
     return np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unzip = zstandard.ZstdDecompressor()
-    for b in batches:
-        b = b.filter(b.column("at").is_valid())
-        ids, tags = b.column("doc_id").to_numpy(), b.column("tag").to_numpy().astype(np.int64)
-        texts = [unzip.decompress(z) if z else b"" for z in b.column("z").to_pylist()]
-        for part in common.groups(texts):
-            w = Batch(texts[part])
-            pick = w.same(representatives(w.words)[w.at], *_unpack(b, part))
-            yield compare(common.gram_hashes(w.words, WINDOW)[w.at[pick]], w.doc[pick], w.local[pick], ids[part], tags[part], False)
+def _next_level(before: int, length: int, window: int):
+    """Windows whose run of the length before was found, compared at this length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        for b in batches:
+            b = b.filter(b.column("at").is_valid())
+            ids, tags = b.column("doc_id").to_numpy(), b.column("tag").to_numpy().astype(np.int64)
+            texts = [unzip.decompress(z) if z else b"" for z in b.column("z").to_pylist()]
+            for part in common.groups(texts):
+                w = Batch(texts[part], window)
+                pick = w.same(w.values(before), *_unpack(b, part))
+                yield compare(w.values(length)[pick], w.doc[pick], w.local[pick], ids[part], tags[part], length < window)
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,25 +208,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_words(batch: Batch, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Of each word, whether a window found covers it."""
-    pick = batch.same(common.gram_hashes(batch.words, WINDOW)[batch.at], *found)
-    return common.covered(len(batch.words), batch.at[pick], WINDOW)
+    pick = batch.same(batch.values(batch.window), *found)
+    return common.covered(len(batch.words), batch.at[pick], batch.window)
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, window: int = WINDOW, start: int = START) -> DataFrame:
     """doc_id, n_words, n_removed, longest_run (of removed words), kept_sha256 and, unless keep_text is false, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 41).cast("int").alias("tag"), common.as_bytes(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 33).cast("int").alias("tag"), common.as_bytes(text_col))
     texts = rows.mapInArrow(_pack, "doc_id long, tag int, z binary")
-    halves = _level(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(_first_level, _ROWS), True)
-    key = ["doc_id", "tag"]
-    # an outer join, so that the shuffle of the texts is the same as below and done once
-    found = _level(texts.join(halves.hint("merge"), key, "left").select(*key, "z", "at").mapInArrow(_second_level, _ROWS), False)
+    key, levels = ["doc_id", "tag"], lengths(window, start)
+    found = _level(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(_first_level(levels[0], window), _ROWS), levels[0] < window)
+    for before, length in pairwise(levels):
+        # an outer join, so that the shuffle of the texts is the same for all levels and below, and done once
+        held = texts.join(found.hint("merge"), key, "left").select(*key, "z", "at")
+        found = _level(held.mapInArrow(_next_level(before, length, window), _ROWS), length < window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             for part in common.groups(sizes := b.column("z").to_pylist(), 1 << 20):
                 texts = [unzip.decompress(z) if z else b"" for z in sizes[part]]
-                w = Batch(texts)
+                w = Batch(texts, window)
                 gone = removed_words(w, _unpack(b, part))
                 kept, removed, longest = [], [], []
                 for text, s, n in zip(texts, w.first, w.counts, strict=True):
