@@ -35,8 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that one Python worker remembers at most.
-MEMO = 500_000
+#: Chunks, and characters of them, that one Python worker remembers at most.
+MEMO, MEMO_SIZE = 500_000, 16 << 20
 
 #: Unicode's White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -82,6 +82,7 @@ class WordBPE:
         self.forget()
 
     def forget(self) -> None:
+        self.held = 0
         self.ids = {text: str(i) for text, i in self.special.items()}
         self.names = {text: text for text in self.special}
 
@@ -153,6 +154,7 @@ class WordBPE:
         new = {c: self.words_of(c) for c in chunks}
         words = list({w for ws in new.values() for w in ws})
         made = dict(zip(words, self.index_and_merge(words), strict=True))
+        self.held += sum(map(len, new))
         for c, ws in new.items():
             ids = [i for w in ws for i in made[w]]
             self.ids[c] = " ".join(map(str, ids))
@@ -166,7 +168,7 @@ class WordBPE:
             todo.append(self.chunks(text))
             size += len(text)
             if size > 1 << 21 or k + 1 == len(texts):
-                if len(self.ids) > MEMO:
+                if len(self.ids) > MEMO or self.held > MEMO_SIZE:
                     self.forget()
                 self.learn(set().union(*todo).difference(self.ids))
                 for chunks in todo:

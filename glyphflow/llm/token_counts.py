@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Segments whose counts one Python worker remembers at most.
-MEMO = 400_000
+#: Segments, and characters of them, whose counts one Python worker remembers at most.
+MEMO, MEMO_SIZE = 400_000, 16 << 20
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -58,6 +58,7 @@ class PieceCounter:
 
     def __init__(self, model: str) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.split = False
         if model.endswith(".json"):
             from tokenizers import Tokenizer
@@ -80,6 +81,7 @@ class PieceCounter:
         """A segment with k spaces in front is the text with k - 1, after the mark that the
         library puts before a text; one without is encoded after a line feed, less both ids."""
         todo = list(parts)
+        self.held += sum(map(len, todo))
         texts = [p[1:] if p[0] == " " else "\n" + p for p in todo]
         for p, t, n in zip(todo, texts, self.lengths(texts), strict=True):
             self.known[p] = n - 2 if p[0] != " " else n if t else 1
@@ -96,8 +98,9 @@ class PieceCounter:
             try:
                 out.append(sum(map(known.__getitem__, parts)))
             except KeyError:
-                if len(known) > MEMO:
+                if len(known) > MEMO or self.held > MEMO_SIZE:
                     known.clear()
+                    self.held = 0
                 known["\n"] = 1
                 self._learn({p for p in parts if p not in known})
                 out.append(sum(map(known.__getitem__, parts)))
