@@ -12,7 +12,8 @@ are compared over the overlap.  A match has at most MAX_ERROR of the bits wrong
 
 Search: the queries go out in blocks of BLOCK recordings (about 1 MB), each with an
 index from key bits to places; all fingerprints, kept once in the shared folder,
-are read against each block.  There is no cap on candidates or matches.
+are read against each block, and each block's matches are a table of their own part.
+There is no cap on candidates or matches.
 
 Scale: one pass over the media, one pass over the fingerprints a block of queries,
 no shuffle.  The driver holds one block of queries at a time.
@@ -206,25 +207,29 @@ def _against(block):
 
 
 def search(prints: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All matches of queries (id, ints) among prints (id, ints), without those of the same id."""
-    sc, found = prints.sparkSession.sparkContext, []
-    ids, ints = [], []
+    """All matches of queries (id, ints) among prints (id, ints), without those of the same id.
+
+    Each block's matches are appended to a table in the shared folder and its index is given
+    up, so neither the driver, the executors nor the plan grow with the number of blocks.
+    """
+    spark = prints.sparkSession
+    at = common.scratch(spark, "matches")
+    ids, ints, sent = [], [], 0
 
     def send() -> None:
-        found.append(prints.mapInArrow(_against(sc.broadcast(Index(ids, ints))), _FOUND))
+        index = spark.sparkContext.broadcast(Index(ids, ints))
+        prints.mapInArrow(_against(index), _FOUND).write.mode("append").parquet(at)
+        index.destroy()
 
     for row in queries.filter(F.col("id").isNotNull() & (F.size("ints") > 0)).toLocalIterator():
         ids.append(row[0])
         ints.append(np.array(row[1], np.int32).view(np.uint32))
         if len(ids) == block:
             send()
-            ids, ints = [], []
-    if ids or not found:
+            ids, ints, sent = [], [], sent + 1
+    if ids or not sent:
         send()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return spark.read.schema(_FOUND).parquet(at)
 
 
 NOTES, NOTE = 64, 256
