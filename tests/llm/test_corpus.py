@@ -105,21 +105,21 @@ def test_counts_by_both_libraries():
 # -- 2
 
 
-def dedup_brute(rows: list[tuple]) -> list[tuple]:
+def dedup_brute(rows: list[tuple], n: int = 13) -> list[tuple]:
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     least: dict[tuple, int] = {}
     for i, w in split:
         if i is not None:
-            for k in range(len(w) - 12):
-                g = tuple(w[k : k + 13])
+            for k in range(len(w) - n + 1):
+                g = tuple(w[k : k + n])
                 least[g] = min(i, least.get(g, i))
     out = []
     for i, w in split:
         gone = set()
         if i is not None:
-            for k in range(len(w) - 12):
-                if least[tuple(w[k : k + 13])] < i:
-                    gone.update(range(k, k + 13))
+            for k in range(len(w) - n + 1):
+                if least[tuple(w[k : k + n])] < i:
+                    gone.update(range(k, k + n))
         out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return sorted(out, key=repr)
 
@@ -131,6 +131,14 @@ def test_substring_dedup(docs, rows, nothing):
     assert substring_dedup.dedup_passages(nothing).count() == 0
 
 
+@pytest.mark.parametrize("window,start,levels", [(50, 7, [7, 14, 28, 50]), (13, 2, [2, 4, 8, 13]), (40, 40, [40]), (2000, 7, None)])
+def test_lengths_double(docs, rows, window, start, levels):
+    """Any window, by any first length; no candidates are left at 2,000 words but those of the longest text."""
+    assert levels is None or substring_dedup.lengths(window, start) == levels
+    got = substring_dedup.dedup_passages(docs, keep_text=False, window=window, start=start).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == dedup_brute(rows, window)
+
+
 # -- 3
 
 PAGE = """<!doctype html><html><head><title>No</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="ads-none x">
@@ -184,6 +192,24 @@ def test_html_repeats_over_large_hosts(spark):
     assert Counter((r["page_id"], r["url"], r["text"]) for r in html_extract.extract(frame).collect()) == want
 
 
+BROKEN = ['<div class="x', "<a href='", "<p <b", '<a ">" ', "<div>", "</span>", '<a "x>', "<li>", "<", "<!-- ", '<a "> \'', "text <p>"]
+
+
+@pytest.mark.parametrize("bit", BROKEN)
+def test_broken_pages_take_linear_time(bit):
+    page = bit * (2_000_000 // len(bit))
+    begin = time.process_time()
+    html_extract.blocks(page)
+    assert time.process_time() - begin < 8
+
+
+def test_broken_tags():
+    text = lambda page: [b[0] for b in html_extract.blocks(page)]
+    assert text('<p title="a > b">one</p><p title=">two</p>') == ["one", "two"]
+    assert text("a <b title='x'>c</b> < d <e") == ["a c < d <e"] and text("<p>it's <i>one</i> of 'em") == ["it's one of 'em"]
+    assert text("<div><p>a</div>b</p><li>c<li>d</ul>e") == ["a", "b", "c", "d e"]
+
+
 def test_suffix_cover_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(60):
