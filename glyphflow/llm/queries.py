@@ -148,4 +148,20 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM d LEFT JOIN one USING (k)
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op9_secrets": OP9_SQL}
+OP8_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b, m = c AND n = c AS same FROM shared WHERE 5 * c >= 4 * (m + n - c)),
+links AS (SELECT a, b, same FROM linked UNION ALL SELECT b, a, same FROM linked),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+class AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1),
+equal AS (SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS name FROM d LEFT JOIN (SELECT a, b FROM links WHERE same) ON a = doc_id GROUP BY doc_id),
+counts AS (SELECT a AS doc_id, count(*) FILTER (same) AS n_copies, count(*) AS n_links, count(DISTINCT name) FILTER (NOT same) AS n_similar FROM links JOIN equal ON b = equal.doc_id GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(least, doc_id)) AS class_id, CAST(coalesce(n_copies, 0) AS BIGINT) AS n_copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_similar, 0) AS BIGINT) AS n_similar
+FROM d LEFT JOIN class USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_ngram_join": OP8_SQL, "op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op9_secrets": OP9_SQL}

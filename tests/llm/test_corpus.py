@@ -207,7 +207,7 @@ def test_broken_tags():
     text = lambda page: [b[0] for b in html_extract.blocks(page)]
     assert text('<p title="a > b">one</p><p title=">two</p>') == ["one", "two"]
     assert text("a <b title='x'>c</b> < d <e") == ["a c < d <e"] and text("<p>it's <i>one</i> of 'em") == ["it's one of 'em"]
-    assert text("<div><p>a</div>b</p><li>c<li>d</ul>e") == ["a", "b", "c", "d e"]
+    assert text("<div><p>a</div>b</p><li>c<li>d</ul>e") == ["a", "b", "c", "d", "e"]
 
 
 def test_suffix_cover_against_brute_force():
