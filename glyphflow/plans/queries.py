@@ -118,13 +118,13 @@ def _script_sql(best: str) -> str:
     return f"CASE WHEN {best}.n = 0 THEN 'Other' ELSE ([{', '.join(f"'{s}'" for s in _SCRIPTS)}])[-{best}.k] END"
 
 
-_CYRILLIC, _CJ = "repeat('ж', {0}(text) + 1) || text", "text || repeat('漢か', {0}(text))"
+_CYRILLIC = "repeat('ж', {0}(text) + 1) || text"
 
 
-@query(f"SELECT doc_id, {_script_sql('a')} AS script, {_script_sql('b')} AS with_cyrillic, {_script_sql('c')} AS with_cj FROM (SELECT doc_id, {_majority_sql('text', 'a')}, {_majority_sql('(' + _CYRILLIC.format('len') + ')', 'b')}, {_majority_sql('(' + _CJ.format('len') + ')', 'c')} FROM documents)")
+@query(f"SELECT doc_id, {_script_sql('a')} AS script, {_script_sql('b')} AS with_cyrillic FROM (SELECT doc_id, {_majority_sql('text', 'a')}, {_majority_sql('(' + _CYRILLIC.format('len') + ')', 'b')} FROM documents)")
 def script_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The script of every document's own text, and of it with as many letters of another script and one more."""
-    columns = {"script": F.col("text"), "with_cyrillic": F.expr(_CYRILLIC.format("char_length")), "with_cj": F.expr(_CJ.format("char_length"))}
+    columns = {"script": F.col("text"), "with_cyrillic": F.expr(_CYRILLIC.format("char_length"))}
     return _table(spark, sf_dir, "documents").select("doc_id", *(G.detect_script(c).alias(n) for n, c in columns.items()))
 
 
