@@ -198,6 +198,36 @@ def dictionary_segmenters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", *(_digest(F.col(f"s.{name}")).alias(name) for name in SAMPLES))
 
 
+def _lexicon_sql(name: str, buffer: bool) -> str:
+    """The longest word at each place; characters between words one by one, or all together."""
+    words = "|".join(sorted(lexicons.SEEDS[name].split(), key=len, reverse=True))
+    x = f"('{SAMPLES[name]}' || text || '{SAMPLES[name]}')"
+    if buffer:
+        return f"[x FOR x IN string_split(regexp_replace({x}, '({words})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) IF x <> '']"
+    return f"regexp_extract_all({x}, '(?s){words}|.')"
+
+
+_BY_LEXICON = {"thai": False, "khmer": False, "korean": False, "german": True}
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"sha256(array_to_string({_lexicon_sql(name, buffer)}, chr(31))) AS {name}" for name, buffer in _BY_LEXICON.items()) + " FROM conversations")
+def lexicon_segmenters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest word of a lexicon at each place, on every turn between two samples."""
+    t, rows = Tokenizer(), _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", *(_digest(t.segment_with(F.concat(F.lit(SAMPLES[name]), "text", F.lit(SAMPLES[name])), name)).alias(name) for name in _BY_LEXICON))
+
+
+_ALLOWED = {"japanese": ("jpn",), "chinese": ("cmn",), "detected": ("eng", "cmn"), "free": None}
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"sha256({_lemma_sql('text')} || ' {end}') AS {name}" for name, end in (("japanese", "かな亚"), ("chinese", "カナ亞"), ("detected", "カナ亞"), ("free", "かな亚"))) + " FROM conversations")
+def allow_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages allowed decide on the segmenter and the normalisers of an ending in kana and a variant character."""
+    text, rows = F.concat("text", F.lit(" カナ亚")), _table(spark, sf_dir, "conversations")
+    lemmas = {name: Tokenizer().tokenize(text, allow) if allow else Tokenizer().tokenize(text) for name, allow in _ALLOWED.items()}
+    return rows.select("conv_id", "turn", *(F.sha2(F.array_join(F.transform(t, lambda x: x["lemma"]), ""), 256).alias(name) for name, t in lemmas.items()))
+
+
 # -- tokens
 
 
@@ -277,6 +307,19 @@ def stop_words_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.mark_stop_words(rows, stops).groupBy("role", "kind").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {_DOC_TOKENS}, k AS (SELECT doc_id, pos, p, CASE WHEN p IN (SELECT w FROM {_STOPS}) THEN 'stop_word' ELSE kind END AS kind FROM tok)
+    SELECT doc_id, CAST(count(*) FILTER (kind = 'stop_word') AS BIGINT) AS n_stop, CAST(count(*) FILTER (kind = 'word') AS BIGINT) AS n_words, sha256(string_agg(strip_accents(p), chr(31) ORDER BY pos)) AS lemmas_sha256 FROM k GROUP BY doc_id"""
+)
+def builder_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop words of a table given to the builder, and no lossy step: letters keep their case, and marks (left out of the digest)."""
+    stops = _table(spark, sf_dir, "region").select(F.lower("r_name").alias("w")).union(spark.createDataFrame([("the",), ("of",), ("and",)], "w string"))
+    t = Tokenizer.builder().stop_words(stops).lossy_normalization(False).build()
+    rows = _texts(spark, sf_dir).select("doc_id", t.tokenize("text").alias("t"))
+    many = lambda kind: F.size(F.filter("t", lambda x: x["kind"] == kind)).cast("long")
+    return rows.select("doc_id", many("stop_word").alias("n_stop"), many("word").alias("n_words"), _digest(F.transform("t", lambda x: G.strip_marks(x["lemma"]))).alias("lemmas_sha256"))
+
+
 @query(f"""WITH {_DOC_TOKENS} SELECT doc_id, CAST(sum(strlen(lemma)) AS BIGINT) AS byte_len, CAST(sum(strlen(p)) AS BIGINT) AS original_byte_len, CAST(sum(len(lemma)) AS BIGINT) AS char_count, CAST(sum(len(p)) AS BIGINT) AS original_char_count FROM tok GROUP BY doc_id""")
 def token_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().tokenize("text").alias("t"))
