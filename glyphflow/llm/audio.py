@@ -45,6 +45,7 @@ SPAN = 16
 KEY, VOTES, MIN_OVERLAP, MAX_ERROR = 16, 2, 24, 0.2
 _LOW = np.uint32((1 << KEY) - 1)
 BLOCK = 4096
+_WIDE = 1 << 32
 
 _SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 _SMOOTH /= _SMOOTH.sum()
@@ -105,10 +106,10 @@ def packed(image: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint32)
     total = np.zeros((len(image) + 1, 13))
     total[1:, 1:] = image.cumsum(0).cumsum(1)
-    t = np.arange(n)
+    column = np.ascontiguousarray(total.T)
 
     def area(a: int, b: int, p: int, q: int) -> np.ndarray:
-        return total[t + b, q] - total[t + a, q] - total[t + b, p] + total[t + a, p]
+        return column[q, b : b + n] - column[q, a : a + n] - column[p, b : b + n] + column[p, a : a + n]
 
     out = np.zeros(n, np.uint32)
     for kind, low, height, width in _FILTERS:
@@ -152,7 +153,8 @@ class Index:
         at = np.arange(len(self.ints)) - self.begin[who] if len(who) else np.zeros(0, np.int64)
         key = np.concatenate([self.ints >> np.uint32(KEY), (self.ints & _LOW) + np.uint32(1 << KEY)])
         order = np.argsort(key, kind="stable")
-        self.who, self.at = np.tile(who, 2)[order], np.tile(at, 2)[order]
+        # who and where in one number: adding a frame gives the cell of (who, offset)
+        self.code = np.tile(who * _WIDE + (_WIDE >> 1) - at, 2)[order]
         self.first = np.searchsorted(key[order], np.arange((2 << KEY) + 1))
 
     def matches(self, ints: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -160,14 +162,16 @@ class Index:
         key = np.concatenate([ints >> np.uint32(KEY), (ints & _LOW) + np.uint32(1 << KEY)])
         lo = self.first[key]
         many = self.first[key + np.uint32(1)] - lo
-        if not many.sum():
+        end = many.cumsum()
+        if not end[-1:].any():
             return []
-        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        offset = np.repeat(np.tile(np.arange(len(ints)), 2), many) - self.at[entry]
-        wide = np.int64(1 << 32)
-        cell, votes = np.unique(self.who[entry] * wide + offset + (wide >> 1), return_counts=True)
-        cell = cell[votes >= VOTES]
-        who, shift = cell // wide, cell % wide - (wide >> 1)
+        cell = self.code[np.arange(end[-1]) + np.repeat(lo - end + many, many)]
+        cell += np.repeat(np.tile(np.arange(len(ints)), 2), many)
+        cell.sort()
+        same = cell[VOTES - 1 :] == cell[: len(cell) - VOTES + 1]
+        cell = cell[: len(same)][same]
+        cell = cell[np.diff(cell, prepend=-1) != 0]
+        who, shift = cell // _WIDE, cell % _WIDE - (_WIDE >> 1)
         begin, end = np.maximum(0, shift), np.minimum(len(ints), self.length[who] + shift)
         n = end - begin
         long = n >= MIN_OVERLAP
