@@ -511,9 +511,10 @@ class Engine:
         self.custom = None
         if not config.default_split:
             self.matches = frozenset(words | (own or tables.separators()))
-            alternatives = tables.alternation(frozenset(x for x in self.matches if len(x) > 1 or own))
-            rest = "" if own else f"|[{tables.char_class(tables.separator_ranges(), True)}]"
-            self.custom = re.compile((alternatives + rest).strip("|"), re.S)
+            parts = [tables.alternation(frozenset(x for x in self.matches if len(x) > 1 or own or x in words))]
+            if not own:
+                parts.append(f"[{tables.char_class(tables.separator_ranges(), True)}]")
+            self.custom = re.compile("|".join(filter(None, parts)), re.S)
         self.registry: dict[tuple[str, str | None], str | Callable] = {**REGISTRY, **{(s, k): cut for s, k, cut in config.segmenters}}
         self.number_of_segmenters = {s: sum(k[0] == s for k in self.registry) for s in tables.SCRIPTS}
 

@@ -154,6 +154,14 @@ def test_any_options(text, separators, words, char_map):
         assert kind == ("stop_word" if lemma in {" ", "a"} else "separator" if lemma in listed else "word")
 
 
+@pytest.mark.parametrize("separators", [(), ("0",), ("|",)])
+def test_words_of_one_character(separators):
+    """They part a text like longer ones, those that mean something in a pattern too."""
+    for word in "|\\.x[":
+        cut = core.engine(TokenizerConfig(separators=separators, words_dict=(word,)))
+        assert [t[0] for t in cut.tokens(f"a{word}b0c")] == ["a", word, *(["b", "0", "c"] if "0" in separators else ["b0c"])]
+
+
 def machine_groups(text: str) -> list[str]:
     """Runs of one script by a state machine."""
     out, now = [], "Other"
