@@ -192,6 +192,63 @@ def test_html_repeats_over_large_hosts(spark):
     assert Counter((r["page_id"], r["url"], r["text"]) for r in html_extract.extract(frame).collect()) == want
 
 
+@pytest.mark.parametrize(("dealt", "sent"), [(1, 500_000), (7, 500_000), (7, 0)])
+def test_html_arrays_run_over_articles(spark, monkeypatch, dealt, sent):
+    """What most of a host's articles share goes, what some share stays, however pages are dealt; against plain Python."""
+    rng = random.Random(8)
+    notice, passage, copied = prose(rng, 11), prose(rng, 30), [prose(rng, 40), prose(rng, 12)]
+    hosts = {
+        "most": [[prose(rng, 30), *([notice] if i % 3 else []), *([passage] if i % 3 == 0 else []), prose(rng, 9)] for i in range(60)],
+        "half": [[prose(rng, 30), *([notice] if i % 2 else [])] for i in range(16)],
+        "seven": [[prose(rng, 30), notice] for _ in range(7)],
+        "eight": [[notice, prose(rng, 30)] for _ in range(8)],
+        "copies": [copied] * 20 + [[copied[1], prose(rng, 30)] for _ in range(8)] + [[prose(rng, 30)] for _ in range(10)],
+        "near": [[copied[0], prose(rng, 3)] for _ in range(9)],
+        "short": [[prose(rng, 3)] for _ in range(6)],
+    }
+    pages = [(host, k, found) for host, articles in hosts.items() for k, found in enumerate(articles)]
+    pages += [("most", 1, hosts["most"][1])] * 3  # repeated rows
+    rows, distinct = defaultdict(Counter), defaultdict(lambda: defaultdict(set))
+    runs = lambda found: [tuple(w[k : k + 8]) for w in [" ".join(found).split()] for k in range(len(w) - 7)]
+    for host, _, found in pages:
+        rows[host].update({*runs(found), None})
+        for run in {*runs(found), None}:
+            distinct[host][run].add("\n".join(found))
+    want = Counter()
+    for host, k, found in pages:
+        n, of = rows[host], {run: len(texts) for run, texts in distinct[host].items()}
+        gone = {i for at, run in enumerate(runs(found)) if of[run] >= 8 and 2 * n[run] > n[None] and 2 * of[run] > of[None] for i in range(at, at + 8)}
+        if 2 * len(gone) > len(" ".join(found).split()):
+            gone = set()
+        at, kept = 0, []
+        for block in found:
+            left = [w for i, w in enumerate(block.split(), at) if i not in gone]
+            at += len(block.split())
+            kept += [" ".join(left)] if left else []
+        want[f"//{host}/{k}", "\n".join(kept)] += 1
+    texts = defaultdict(str)
+    for url, text in want:
+        texts[url.split("/")[2]] += text + "\n"
+    assert notice not in texts["most"] + texts["eight"] and notice in texts["half"] and notice in texts["seven"] and passage in texts["most"]
+    assert texts["copies"].count(copied[1]) == 28 and texts["near"].count(copied[0]) == 9
+    html = lambda found: "<nav>" + notice + "</nav><article><div class='ad'>" + passage + "</div>" + "".join(f"<p>{t}</p>" for t in found) + "</article><p>beside it</p>"
+    frame = spark.createDataFrame([(k, f"//{host}/{k}", html(found)) for host, k, found in pages], "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "SENT", sent)
+    assert Counter((r["url"], r["text"]) for r in html_extract.extract(frame.repartition(dealt)).collect()) == want
+
+
+def test_html_candidates_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        hosts = np.array(sorted(rng.choices(range(3), k=rng.randrange(9))), np.int64)
+        texts = [" ".join(rng.choices("ab", k=rng.choice((0, 7, 8, 14)))) for _ in hosts]
+        rows = defaultdict(Counter)
+        for h, t in zip(hosts, texts, strict=True):
+            rows[h].update({None, *(t[k : k + 15] for k in range(0, len(t) - 14, 2))})
+        want = sorted(html_extract.windows([h], [run])[3][0] for h, n in rows.items() for run in n if run and 2 * n[run] > n[None])
+        assert sorted(html_extract.candidates(hosts, texts)[0]) == want
+
+
 BROKEN = ['<div class="x', "<a href='", "<p <b", '<a ">" ', "<div>", "</span>", '<a "x>', "<li>", "<", "<!-- ", '<a "> \'', "text <p>"]
 
 
