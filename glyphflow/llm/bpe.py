@@ -2,11 +2,14 @@
 
 The distinct words of a batch lie end to end in one array of symbols with links
 to the neighbours.  An index maps every adjacent pair that has a merge rank to
-all positions where it stands.  The lowest active rank is applied at all its
-positions at once; each merge takes the two neighbouring pairs out of date and
-enters the two new ones, whose ranks become active.  A rank is never re-entered
-by a later one in a vocabulary where each token has one merge (checked when the
-file is read), so ascending order gives what the library gives.
+all positions where it stands.  Ranks are taken in ascending order, in blocks of
+consecutive ranks none of whose pairs holds a token that the block makes: no merge
+of a block can enter a pair of it, so all its positions are merged at once, and of
+pairs that overlap the lower rank goes first (of one rank, the left one).  Each
+block takes the neighbouring pairs out of date and enters the new ones, whose ranks
+lie in later blocks.  That needs a vocabulary where each token has one merge and no
+merge comes before one that it needs (checked when the file is read); then the
+order gives what the library gives.
 
 Chunks between spaces are remembered with their ids, so a batch indexes only the
 words of chunks not seen before; a text's encoding is the concatenation of its chunks' ids.  Decoding maps
@@ -21,20 +24,25 @@ for a map.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
+#: Characters of words that one index is made of (a longer word alone); bounds its arrays.
+INDEX = 1 << 20
+
 #: Chunks, and characters of them, that one Python worker remembers at most.
 MEMO, MEMO_SIZE = 500_000, 16 << 20
 
@@ -52,6 +60,17 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
 
 
+def distinct(where: np.ndarray) -> np.ndarray:
+    """The distinct positions in order; np.unique() is several times slower on them."""
+    where = np.sort(where)
+    return where[np.concatenate([[True], where[1:] != where[:-1]])]
+
+
+def joined(ends: np.ndarray, parts: pa.Array) -> list[str]:
+    """Consecutive runs of parts, each joined by spaces; ends has 0 and the end of each run."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), parts), pa.scalar(" ", parts.type)).to_pylist()
+
+
 class WordBPE:
     """Reads a tokenizers file of byte-level BPE with word ends, and encodes and decodes as it says."""
 
@@ -71,16 +90,40 @@ class WordBPE:
         if len({made for _, made in self.merges.values()}) != len(self.merges):
             raise ValueError("a token has two merges")
         self.pairs = sorted(self.merges, key=lambda p: self.merges[p][0])
+        self.tabulate()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", " ")
         self.words_of = regex.compile(pattern).findall
         self.white = re.compile(f"[{WHITE}]+")
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda t: [t]
-        self.chars = byte_chars()
         #: chunk without spaces -> its ids and its tokens, as text joined by spaces
         self.ids: dict[str, str] = {}
         self.names: dict[str, str] = {}
         self.forget()
 
+    def tabulate(self) -> None:
+        """The merges and the symbols of bytes as arrays, and where the blocks of independent ranks begin."""
+        self.none = max(self.tokens) + 1
+        self.made = np.array([self.merges[p][1] for p in self.pairs], np.int32)
+        keys = np.array([a * (self.none + 1) + b for a, b in self.pairs], np.int64)
+        self.rank_of = np.append(np.argsort(keys), len(keys)).astype(np.int32)
+        self.keys = np.append(np.sort(keys), np.iinfo(np.int64).max)
+        self.begins: list[int] = []
+        later, block = set(self.made.tolist()), set()
+        for rank, (pair, made) in enumerate(zip(self.pairs, self.made.tolist(), strict=True)):
+            if not later.isdisjoint(pair):
+                raise ValueError("a merge comes before one that it needs")
+            if rank == 0 or not block.isdisjoint(pair):
+                self.begins.append(rank)
+                block = set()
+            later.discard(made)
+            block.add(made)
+        self.block_of = np.append(np.searchsorted(self.begins, np.arange(len(keys)), "right") - 1, len(self.begins)).astype(np.min_scalar_type(len(self.begins)))
+        chars = byte_chars()
+        self.inner = np.array([self.vocab.get(c, -1) for c in chars], np.int32)
+        self.outer = np.array([self.vocab.get(c + self.end, -1) for c in chars], np.int32)
+        self.decimals = pa.array(map(str, range(self.none)), pa.large_string())
+        self.written = pa.array([self.tokens.get(i, "") for i in range(self.none)], pa.large_string())
+
     def forget(self) -> None:
         self.held = 0
         self.ids = {text: str(i) for text, i in self.special.items()}
@@ -97,68 +140,110 @@ class WordBPE:
             return [c for c in self.white.split(text) if c]
         return text.split()
 
-    def symbols(self, word: str) -> list[int]:
-        marks = [self.chars[b] for b in word.encode()]
-        marks[-1] += self.end
-        return [self.vocab[m] for m in marks]
-
-    def index_and_merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, from one pair occurrence index over all of them."""
-        sym: list[int] = []
-        first = []
-        for w in words:
-            first.append(len(sym))
-            sym += self.symbols(w)
-            sym.append(-1)  # ends the word: no pair crosses it
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words end to end, one that no pair has before and after each word, and where words begin."""
+        raw = [w.encode() for w in words]
+        ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+        data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8) if raw else np.zeros(1, np.uint8)
+        sym = self.inner[data]
+        sym[ends - 1] = self.outer[data[ends - 1]]
+        sym[0] = self.none
+        sym[ends] = self.none
+        if (sym < 0).any():
+            raise KeyError("a byte without a token")
+        return sym, np.concatenate([[0], ends])[:-1] + 1
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; for no pair, the number of ranks."""
+        keys = left.astype(np.int64) * (self.none + 1) + right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.rank_of[at], len(self.pairs))
+
+    def index_and_merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end and the number of each word's, from one pair occurrence index over all of them."""
+        sym, first = self.symbols(words)
         n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges, pairs = self.merges, self.pairs
-        at: dict[int, list[int]] = defaultdict(list)
-        for i, pair in enumerate(zip(sym, sym[1:], strict=False)):
-            if m := merges.get(pair):
-                at[m[0]].append(i)
-        active = list(at)
-        heapq.heapify(active)
-        while active:
-            rank = heapq.heappop(active)
-            a, b = pairs[rank]
-            made = merges[a, b][1]
-            for i in sorted(at.pop(rank)):
-                j = after[i] if sym[i] == a else n
-                if j >= n or sym[j] != b:
-                    continue  # an earlier merge took one of the two
-                sym[i], sym[j] = made, -2
-                after[i] = k = after[j]
-                if k < n:
-                    before[k] = i
-                    if m := merges.get((made, sym[k])):
-                        if m[0] not in at:
-                            heapq.heappush(active, m[0])
-                        at[m[0]].append(i)
-                h = before[i]
-                if h >= 0 and (m := merges.get((sym[h], made))):
-                    if m[0] not in at:
-                        heapq.heappush(active, m[0])
-                    at[m[0]].append(h)
-        out = []
-        for i in first:
-            ids = []
-            while sym[i] != -1:
-                ids.append(sym[i])
-                i = after[i]
-            out.append(ids)
-        return out
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, len(self.pairs), np.int32)
+        gone = np.zeros(n, bool)
+        at: list[list[np.ndarray]] = [[] for _ in range(len(self.begins))]
+
+        def enter(where: np.ndarray) -> None:
+            rank[where] = self.ranks(sym[where], sym[after[where]])
+            where = where[rank[where] < len(self.pairs)]
+            blocks = self.block_of[rank[where]]
+            order = np.argsort(blocks, kind="stable")
+            blocks, where = blocks[order], where[order]
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(where)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j:
+                    at[int(blocks[i])].append(where[i:j])
+
+        enter(np.arange(n - 1))
+        for block, entered in enumerate(at):
+            if not entered:
+                continue
+            where = distinct(np.concatenate(entered))
+            where = where[~gone[where] & (self.block_of[rank[where]] == block)]
+            merged = []
+            while len(where):
+                now, rest = self.next_of(where, rank[where], after[where])
+                taken = after[now]
+                sym[now] = self.made[rank[now]]
+                gone[taken] = True
+                after[now] = after[taken]
+                before[after[now]] = now
+                merged.append(now)
+                where = rest
+            if merged:
+                now = np.concatenate(merged)
+                enter(distinct(np.concatenate([now, before[now]])))
+            at[block] = []
+        kept = ~gone & (sym != self.none)
+        return sym[kept], np.add.reduceat(kept.astype(np.int64), first) if len(first) else first
+
+    @staticmethod
+    def next_of(where: np.ndarray, rank: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one block's positions in order, those that no overlapping pair goes before, and those still to be decided.
+
+        The lower rank goes first; of one rank, every second position of a run from its left.
+        """
+        linked = after[:-1] == where[1:]
+        if not linked.any():
+            return where, where[:0]
+        same = linked & (rank[:-1] == rank[1:])
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        ends = np.concatenate([starts[1:], [len(where)]]) - 1
+        of = rank[starts]
+        free = np.ones(len(starts), bool)
+        joined = linked[ends[:-1]]
+        free[1:] &= ~joined | (of[1:] < of[:-1])
+        free[:-1] &= ~joined | (of[:-1] < of[1:])
+        size = ends - starts + 1
+        now = np.repeat(free, size) & ((np.arange(len(where)) - np.repeat(starts, size)) % 2 == 0)
+        rest = ~now
+        rest[1:] &= ~(linked & now[:-1])
+        rest[:-1] &= ~(linked & now[1:])
+        return where[now], where[rest]
 
     def learn(self, chunks: set[str]) -> None:
         """Index the distinct words of chunks not seen before, and keep the chunks' encodings."""
-        new = {c: self.words_of(c) for c in chunks}
-        words = list({w for ws in new.values() for w in ws})
-        made = dict(zip(words, self.index_and_merge(words), strict=True))
-        self.held += sum(map(len, new))
-        for c, ws in new.items():
-            ids = [i for w in ws for i in made[w]]
-            self.ids[c] = " ".join(map(str, ids))
-            self.names[c] = " ".join(map(self.tokens.__getitem__, ids))
+        alone = [c for c in chunks if c.isascii() and c.isalpha()]  # one word
+        others = {c: self.words_of(c) for c in chunks.difference(alone)}
+        words = [*alone, *set().union(*others.values()).difference(alone)]
+        ids: list[str] = []
+        names: list[str] = []
+        for part in common.groups(words, INDEX):
+            found, counts = self.index_and_merge(words[part])
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            ids += joined(ends, self.decimals.take(pa.array(found)))
+            names += joined(ends, self.written.take(pa.array(found)))
+        self.held += sum(map(len, chunks))
+        for memo, made in ((self.ids, ids), (self.names, names)):
+            memo.update(zip(alone, made, strict=False))
+            of = dict(zip(words, made, strict=True))
+            for c, ws in others.items():
+                memo[c] = " ".join([of[w] for w in ws])
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Of each text, its decimal ids and its tokens, both joined by spaces."""

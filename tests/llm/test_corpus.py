@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -311,6 +313,47 @@ def test_bpe_on_random_texts():
         assert own.encode(text) == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bpe_index_merges_whole_arrays():
+    import sys
+
+    own, rng = bpe.coder(public_tokenizers.path("word_bpe_49k.json")), random.Random(4)
+    words = list({"".join(rng.choice(["th", "er", "in", "a", "e", "on", "st", "q", "é"]) for _ in range(rng.randint(2, 9))) for _ in range(20_000)})
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        own.index_and_merge(words)
+    finally:
+        sys.setprofile(None)
+    assert calls < 4 * len(words)  # one call or more for each pair is what made the query too slow
+
+
+def test_bpe_of_overlapping_pairs():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    tok, own = Tokenizer.from_file(path), bpe.coder(path)
+    words = [c * n for c in "aelos!é-" for n in (2, 3, 4, 5, 7, 64, 1001)]
+    words += ["".join(rng.choice(["th", "er", "in", "aa", "e", "lll", "on", "!!", "?"]) for _ in range(rng.randint(1, 300))) for _ in range(400)]
+    whole = " ".join(words)
+    assert own.encode(whole) == tok.encode(whole, add_special_tokens=False).ids
+    for w in words:
+        assert own.encode(w) == tok.encode(w, add_special_tokens=False).ids, w
+
+
+def test_bpe_refuses_merges_out_of_order(tmp_path):
+    spec = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    merges = spec["model"]["merges"]
+    merges.insert(0, merges.pop(next(k for k, (a, _) in enumerate(merges) if len(a) > 2)))
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="before one that it needs"):
+        bpe.WordBPE(str(tmp_path / "t.json"))
+
+
 # -- 5
 
 KEY = b"a key for tests"
