@@ -2,7 +2,9 @@
 
 Each takes a table of words (one row a word: id columns, pos, lemma) or of texts.
 What concerns one text alone is made in its own row; what is left is one aggregation
-by term, which combines on the map side, so a word in every text sends one row a task.
+by term. Counts are summed over spans of texts before they leave the Python worker, so
+a word in every text sends one row a span; pairs of words, of which most stand there once
+or twice, are not combined a second time before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,29 +31,27 @@ def top_words(words_: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def document_frequency(texts: DataFrame, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
-    """lemma, df: a text's words are made distinct in the text's own row, so no (text, word) shuffle is needed."""
-    lemmas = (tokenizer or Tokenizer()).lemmas(text_col)
-    return texts.select(F.explode(F.array_distinct(lemmas)).alias("lemma")).groupBy("lemma").agg(F.count("*").alias("df"))
+    """lemma, df: the tokenizer counts the texts that have a word over spans of texts."""
+    return texts.select(F.inline((tokenizer or Tokenizer()).text_counts(text_col))).groupBy(F.col("key").alias("lemma")).agg(F.sum("n").alias("df"))
 
 
 def ngram_counts(texts: DataFrame, n: int = 2, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
-    """gram, n: runs of n words, made within the row."""
-    rows = texts.select((tokenizer or Tokenizer()).lemmas(text_col).alias("w"))
-    grams = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
-    return rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """gram, n: runs of n words of one text, counted over spans of texts."""
+    counts = texts.select(F.inline((tokenizer or Tokenizer()).gram_counts(text_col, n))).select("key", "n")
+    return counts.repartition("key").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
 
 
 def context_lengths(texts: DataFrame, by: tuple[str, ...], text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
     """by, context, n_words: words between hard separators (contexts without words are left out), a text at a time: no shuffle."""
-    rows = texts.select(*by, F.posexplode((tokenizer or Tokenizer()).contexts(text_col)).alias("context", "w"))
-    return rows.filter(F.size("w") > 0).select(*by, F.col("context").cast("long").alias("context"), F.size("w").cast("long").alias("n_words"))
+    rows = texts.select(*by, F.posexplode((tokenizer or Tokenizer()).context_sizes(text_col)).alias("context", "n"))
+    return rows.filter("n > 0").select(*by, F.col("context").cast("long").alias("context"), F.col("n").cast("long").alias("n_words"))
 
 
 def proximity(texts: DataFrame, within: int = 3, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
-    """first, second, n: word pairs at most within words apart in one context; pairs are made in the text's own row."""
-    rows = texts.select(F.explode((tokenizer or Tokenizer()).contexts(text_col)).alias("w")).filter(F.size("w") > 1)
-    near = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.transform(F.slice("w", i + 2, F.lit(within)), lambda x: F.struct(F.get("w", i).alias("first"), x.alias("second")))))
-    return rows.select(F.inline(near)).groupBy("first", "second").agg(F.count("*").alias("n"))
+    """first, second, n: word pairs at most within words apart in one context, counted over spans of texts."""
+    counts = texts.select(F.inline((tokenizer or Tokenizer()).near_counts(text_col, within))).repartition("key")
+    first, second = F.substring("key", F.lit(1), F.col("at")), F.substring("key", F.col("at") + 1, F.char_length("key"))
+    return counts.groupBy("key", "at").agg(F.sum("n").alias("n")).select(first.alias("first"), second.alias("second"), "n")
 
 
 def tf_idf(texts: DataFrame, id_col: str, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:

@@ -8,31 +8,44 @@ bound the memory of a worker, not the number of rows.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache, cached_property, partial
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import core, schema
+from .. import core, schema, tables
 from ..config import TokenizerBuilder, TokenizerConfig
 
-#: Characters of text whose tokens are held at once.
+#: Bytes of text whose tokens are held at once.
 PIECE = 1 << 20
 
+#: Words over which counts are summed before they leave the worker.
+SPAN = 1 << 21
 
-def _pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        if size > PIECE:
-            yield texts[begin:k]
-            begin, size = k, 0
-        size += len(t or "")
-    yield texts[begin:]
+
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so much together; one range at least."""
+    total = np.cumsum(sizes)
+    begin, n = 0, len(total)
+    while True:
+        end = min(n, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most)) + 1)
+        yield begin, end
+        begin = end
+        if begin >= n:
+            return
+
+
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Only the texts of one piece are Python strings at a time."""
+    for begin, end in _cuts(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), PIECE):
+        yield texts.slice(begin, end - begin).to_pylist()
 
 
 def _list(counts: list[int | None], values: pa.Array) -> pa.ListArray:
@@ -41,132 +54,288 @@ def _list(counts: list[int | None], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=nulls) if len(counts) else pa.array([], pa.list_(values.type))
 
 
+# -- tokens of a piece
+
+
+@cache
+def _is_in(kind: str) -> np.ndarray:
+    """By code point whether it is a default separator, Latin, or of a script that takes more than splitting."""
+    if kind == "separator":
+        ranges = tables.separator_ranges()
+    elif kind == "latin":
+        ranges = tables.exclusive_ranges("Latin")
+    else:
+        ranges = ((0x530, 0x58F), *(r for s in tables.SCRIPT_RANGES if s != "Latin" for r in tables.exclusive_ranges(s)))
+    out = np.zeros(0x110000, bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
+class _Run(NamedTuple):
+    """Consecutive segments of one script and language; their number in each of the texts that they make up."""
+
+    counts: np.ndarray
+    values: pa.Array
+    script: str
+    language: str | None
+
+
+def _split(points: np.ndarray, joined: bytes, begins: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of texts set end to end, split by the default rules: how many segments each has, and the segments."""
+    separator = _is_in("separator")[points]
+    starts = separator.copy()
+    starts[1:] |= separator[:-1]
+    starts[1:] &= ~(((points[:-1] == 0x2E) | (points[:-1] == 0x2C)) & (points[1:] == 0x20))
+    starts[begins[:-1][begins[:-1] < begins[1:]]] = True
+    at = np.append(np.flatnonzero(starts), len(points))
+    counts = np.diff(np.searchsorted(at, begins))
+    if len(joined) > len(points):
+        widths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])[at]
+    return counts, pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(joined))
+
+
+def _runs(engine: core.Engine, texts: list[str]) -> Iterator[_Run | list[tuple[list[str], str, str | None]]]:
+    """Texts that only have to be split are split together; of any other the groups, one text at a time."""
+    if engine.custom is not None or engine.config.camel_case:
+        yield from (list(engine.segments(t)) for t in texts)
+        return
+    joined = "".join(texts)
+    points = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+    def any_in(kind: str) -> list[bool]:
+        total = np.concatenate([[0], np.cumsum(_is_in(kind)[points], dtype=np.int64)])[begins]
+        return (total[1:] > total[:-1]).tolist()
+
+    keys: list[tuple | None] = []
+    for t, more, latin in zip(texts, any_in("more"), any_in("latin"), strict=True):
+        script, language, name = ("", None, "") if more else engine.plan(t, "Latin" if latin else "Other")
+        keys.append((script, language) if name == "latin" else None)
+    at = 0
+    while at < len(texts):
+        end = at + 1
+        if keys[at] is None:
+            yield list(engine.segments(texts[at]))
+        else:
+            while end < len(texts) and keys[end] == keys[at]:
+                end += 1
+            a, b = begins[at], begins[end]
+            yield _Run(*_split(points[a:b], joined[a:b].encode(), begins[at : end + 1] - a), *keys[at])
+        at = end
+
+
 def _strings(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-    flat: list[str] = []
-    counts: list[int | None] = []
-    for t in texts:
-        if t is None:
-            counts.append(None)
-            continue
-        before = len(flat)
-        for parts, _, _ in engine.segments(t):
-            flat += parts
-        counts.append(len(flat) - before)
-    return _list(counts, pa.array(flat, pa.string()))
+    there: list[int] = []
+    values: list[pa.Array] = [pa.array([], pa.string())]
+    for run in _runs(engine, [t for t in texts if t is not None]):
+        if isinstance(run, _Run):
+            there += run.counts.tolist()
+            values.append(run.values)
+        else:
+            flat = [p for parts, _, _ in run for p in parts]
+            there.append(len(flat))
+            values.append(pa.array(flat, pa.string()))
+    return _list(_with_nulls(texts, there), pa.concat_arrays(values))
+
+
+def _with_nulls(texts: list[str | None], there: list[int]) -> list[int | None]:
+    following = iter(there)
+    return [None if t is None else next(following) for t in texts]
+
+
+class _Coded:
+    """Tokens of a piece as codes into a table of its distinct segments by script and language.
+
+    What is known of a segment is looked up once for all of its tokens, which are then taken from the table.
+    """
+
+    def __init__(self, engine: core.Engine, texts: list[str | None]) -> None:
+        self.engine = engine
+        self.segments: list[str] = []
+        tables_: list[pa.Array] = [pa.array([], pa.string())]
+        self.keys: list[tuple[str, str | None, int]] = []  # script, language, how many segments
+        own: dict[tuple[str, str | None], dict[str, int]] = {}
+        there: list[int] = []
+        codes: list[np.ndarray] = [np.empty(0, np.int32)]
+        for run in _runs(engine, [t for t in texts if t is not None]):
+            if isinstance(run, _Run):
+                coded = run.values.dictionary_encode()
+                codes.append(coded.indices.to_numpy() + np.int32(len(self.segments)))
+                tables_.append(coded.dictionary)
+                self._add(coded.dictionary.to_pylist(), run.script, run.language)
+                there += run.counts.tolist()
+                continue
+            n = 0
+            for parts, script, language in run:
+                known = own.setdefault((script, language), {})
+                if new := [p for p in dict.fromkeys(parts) if p not in known]:
+                    known.update(zip(new, range(len(self.segments), len(self.segments) + len(new)), strict=True))
+                    tables_.append(pa.array(new, pa.string()))
+                    self._add(new, script, language)
+                codes.append(np.array([known[p] for p in parts], np.int32))
+                n += len(parts)
+            there.append(n)
+        self.counts = _with_nulls(texts, there)
+        self.table = pa.concat_arrays(tables_)
+        self.codes = np.concatenate(codes)
+        self.per_row = np.array(there, np.int64)
+        self.row = np.repeat(np.arange(len(there)), self.per_row)
+
+    def _add(self, segments: list[str], script: str, language: str | None) -> None:
+        self.segments += segments
+        self.keys.append((script, language, len(segments)))
+
+    @cached_property
+    def facts(self) -> list[tuple]:
+        out: list[tuple] = []
+        for script, language, n in self.keys:
+            out += self.engine.facts(self.segments[len(out) : len(out) + n], script, language)
+        return out
+
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        """Of each token the number of its kind."""
+        return np.array([f[1] for f in self.facts], np.int32)[self.codes]
+
+    @cached_property
+    def originals(self) -> pa.Array:
+        return self.table.take(pa.array(self.codes))
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        return self.kinds == 0
+
+    @cached_property
+    def contexts(self) -> tuple[np.ndarray, int, np.ndarray]:
+        """Of each word its context, numbered through all texts; how many there are, and of each text."""
+        hard = self.kinds == core.KINDS.index(("separator", "hard"))
+        per_row = np.bincount(self.row[hard], minlength=len(self.per_row)) + 1
+        return (np.cumsum(hard) + self.row)[self.words], int(per_row.sum()), per_row
+
+    def lemmas(self, ids: dict[str, int]) -> np.ndarray:
+        """Of each word the number of its lemma in ids, which grows."""
+        table = np.array([ids.setdefault(f[0], len(ids)) if not f[1] else 0 for f in self.facts], np.int64)
+        return table[self.codes[self.words]]
 
 
 def _lemmas(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-    flat: list[str] = []
-    counts: list[int | None] = []
-    for t in texts:
-        if t is None:
-            counts.append(None)
-            continue
-        before = len(flat)
-        for parts, script, language in engine.segments(t):
-            flat += [f[0] for f in engine.facts(parts, script, language) if not f[1]]
-        counts.append(len(flat) - before)
-    return _list(counts, pa.array(flat, pa.string()))
+    t = _Coded(engine, texts)
+    counts = np.bincount(t.row[t.words], minlength=len(t.per_row)).tolist()
+    return _list(_with_nulls(texts, counts), pa.array([f[0] for f in t.facts], pa.string()).take(pa.array(t.codes[t.words])))
 
 
 def _contexts(engine: core.Engine, texts: list[str | None]) -> pa.Array:
     """Of each text the lemmas of its words, listed by the hard separators between them."""
-    flat: list[str] = []
-    sizes: list[int | None] = []
-    counts: list[int | None] = []
-    hard = core.KINDS.index(("separator", "hard"))
-    for t in texts:
-        if t is None:
-            counts.append(None)
-            continue
-        before, at = len(sizes), len(flat)
-        for parts, script, language in engine.segments(t):
-            for lemma, kind, *_ in engine.facts(parts, script, language):
-                if not kind:
-                    flat.append(lemma)
-                elif kind == hard:
-                    sizes.append(len(flat) - at)
-                    at = len(flat)
-        sizes.append(len(flat) - at)
-        counts.append(len(sizes) - before)
-    return _list(counts, _list(sizes, pa.array(flat, pa.string())))
+    t = _Coded(engine, texts)
+    context, n, per_row = t.contexts
+    lemmas = pa.array([f[0] for f in t.facts], pa.string()).take(pa.array(t.codes[t.words]))
+    return _list(_with_nulls(texts, per_row.tolist()), _list(np.bincount(context, minlength=n).tolist(), lemmas))
+
+
+def _context_sizes(engine: core.Engine, texts: list[str | None]) -> pa.Array:
+    context, n, per_row = _Coded(engine, texts).contexts
+    return _list(_with_nulls(texts, per_row.tolist()), pa.array(np.bincount(context, minlength=n).astype(np.int32)))
 
 
 def _lemma_counts(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-    flat: Counter[str]
-    lemmas: list[str] = []
-    ns: list[int] = []
-    counts: list[int | None] = []
-    for t in texts:
-        if t is None:
-            counts.append(None)
-            continue
-        flat = Counter()
-        for parts, script, language in engine.segments(t):
-            flat.update(f[0] for f in engine.facts(parts, script, language) if not f[1])
-        lemmas += flat.keys()
-        ns += flat.values()
-        counts.append(len(flat))
-    return _list(counts, pa.StructArray.from_arrays([pa.array(lemmas, pa.string()), pa.array(ns, pa.int64())], names=["lemma", "n"]))
-
-
-def _repeated(values: list[str | None], runs: list[int]) -> pa.Array:
-    """Each value as often as its run is long."""
-    if not values:
-        return pa.array([], pa.string())
-    names = list(dict.fromkeys(values))
-    at = np.repeat([names.index(v) for v in values], runs)
-    return pa.array(names, pa.string()).take(pa.array(at, pa.int32()))
-
-
-def _tokens(engine: core.Engine, texts: list[str | None], normalized: bool = True, original: bool = False) -> pa.Array:
-    counts: list[int | None] = []
-    segments: list[str] = []
-    facts: list[tuple] = []
-    scripts: list[str] = []
-    languages: list[str | None] = []
-    runs: list[int] = []
-    for t in texts:
-        if t is None:
-            counts.append(None)
-            continue
-        before = len(segments)
-        for parts, script, language in engine.segments(t):
-            segments += parts
-            facts += engine.facts(parts, script, language)
-            scripts.append(script)
-            languages.append(language)
-            runs.append(len(parts))
-        counts.append(len(segments) - before)
-    n = len(segments)
-    lemma, kind, maps, chars, size = zip(*facts, strict=True) if facts else ((), (), (), (), ())
-    per_row = np.array([k or 0 for k in counts], np.int64)
-    row = np.repeat(np.arange(len(per_row)), per_row)
-
-    def ends(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array(lengths, np.int64)
-        total = np.concatenate([[0], np.cumsum(x)])
-        first = total[np.cumsum(per_row) - per_row]
-        last = total[1:] - first[row]
-        return (last - x).astype(np.int32), last.astype(np.int32)
-
-    char_start, char_end = ends(chars)
-    byte_start, byte_end = ends(size)
-    char_map = pa.nulls(n, schema.ARROW_CHAR_MAP)
-    if normalized:
-        number = pa.array(np.array(kind, np.int32))
-        kinds, hard = (pa.array([k[i] for k in core.KINDS], pa.string()).take(number) for i in (0, 1))
-        if engine.config.create_char_map:
-            flat = [x for m in maps if m for x in m]
-            pairs = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int16()), pa.array([b for _, b in flat], pa.int16())], names=["orig", "norm"])
-            char_map = _list([None if m is None else len(m) for m in maps], pairs)
-    else:
-        lemma, kinds, hard = segments, _repeated(["unknown"], [n]), pa.nulls(n, pa.string())
-    fields = [kinds, hard, pa.array(lemma, pa.string()), char_start, char_end, byte_start, byte_end, char_map, _repeated(scripts, runs), _repeated(languages, runs)]
-    token = pa.StructArray.from_arrays([f if isinstance(f, pa.Array) else pa.array(f) for f in fields], names=schema.TOKEN.fieldNames())
+    t = _Coded(engine, texts)
+    ids: dict[str, int] = {}
+    found, n = np.unique(t.row[t.words] << 32 | t.lemmas(ids), return_counts=True)
+    counts = np.bincount(found >> 32, minlength=len(t.per_row)).tolist()
+    lemmas = pa.array(list(ids), pa.string()).take(pa.array(found & 0xFFFFFFFF))
+    return _list(_with_nulls(texts, counts), pa.StructArray.from_arrays([lemmas, pa.array(n.astype(np.int64))], names=["lemma", "n"]))
+
+
+def _repeated(value: str, n: int) -> pa.Array:
+    return pa.array([value], pa.string()).take(pa.array(np.zeros(n, np.int32)))
+
+
+def _tokens(engine: core.Engine, texts: list[str | None], normalized: bool = True, original: bool = False, fields: Sequence[str] = ()) -> pa.Array:
+    """fields: those of a token that are made; all, if empty."""
+    t = _Coded(engine, texts)
+    n = len(t.codes)
+
+    def ends(name: str) -> pa.Array:
+        size = (pc.utf8_length if name.startswith("char") else pc.binary_length)(t.table).to_numpy().astype(np.int64)[t.codes]
+        total = np.concatenate([[0], np.cumsum(size)])
+        last = total[1:] - total[np.cumsum(t.per_row) - t.per_row][t.row]
+        return pa.array((last if name.endswith("end") else last - size).astype(np.int32))
+
+    def char_map() -> pa.Array:
+        if not (normalized and engine.config.create_char_map):
+            return pa.nulls(n, schema.ARROW_CHAR_MAP)
+        maps = [f[2] for f in t.facts]
+        flat = [x for m in maps if m for x in m]
+        pairs = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int16()), pa.array([b for _, b in flat], pa.int16())], names=["orig", "norm"])
+        return _list([None if m is None else len(m) for m in maps], pairs).take(pa.array(t.codes))
+
+    def kind(i: int) -> pa.Array:
+        return pa.array([k[i] for k in core.KINDS], pa.string()).take(pa.array(t.kinds))
+
+    def key(i: int) -> pa.Array:
+        number = np.repeat(np.arange(len(t.keys), dtype=np.int32), [k[2] for k in t.keys])
+        return pa.array([k[i] for k in t.keys], pa.string()).take(pa.array(number[t.codes]))
+
+    make: dict[str, Callable[[], pa.Array]] = {
+        "kind": lambda: kind(0) if normalized else _repeated("unknown", n),
+        "separator_kind": lambda: kind(1) if normalized else pa.nulls(n, pa.string()),
+        "lemma": lambda: pa.array([f[0] for f in t.facts], pa.string()).take(pa.array(t.codes)) if normalized else t.originals,
+        **{name: lambda name=name: ends(name) for name in ("char_start", "char_end", "byte_start", "byte_end")},
+        "char_map": char_map,
+        "script": lambda: key(0),
+        "language": lambda: key(1),
+    }
+    names = list(fields or schema.TOKEN.fieldNames())
+    token = pa.StructArray.from_arrays([make[name]() for name in names], names=names)
     if original:
-        token = pa.StructArray.from_arrays([pa.array(segments, pa.string()), token], names=["original", "token"])
-    return _list(counts, token)
+        token = pa.StructArray.from_arrays([t.originals, token], names=["original", "token"])
+    return _list(t.counts, token)
+
+
+# -- counts over many texts
+
+#: Of the words of a span, their contexts and texts: columns of lemmas' numbers that stand together, and how often they do.
+Count = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[list[np.ndarray], np.ndarray]]
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows and how often each stands there, two columns at a time."""
+    found, at, n = np.unique(columns[0], return_inverse=True, return_counts=True)
+    rows = [found]
+    for c in columns[1:]:
+        found, at, n = np.unique(at.astype(np.int64) << 32 | c, return_inverse=True, return_counts=True)
+        rows = [r[found >> 32] for r in rows] + [found & 0xFFFFFFFF]
+    return rows, n
+
+
+def _near(within: int) -> Count:
+    def count(lemma: np.ndarray, context: np.ndarray, _: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        pairs = []
+        for d in range(1, within + 1):
+            same = context[d:] == context[:-d]
+            pairs.append(lemma[:-d][same].astype(np.int64) << 32 | lemma[d:][same])
+        found, n = np.unique(np.concatenate(pairs), return_counts=True)
+        return [found >> 32, found & 0xFFFFFFFF], n
+
+    return count
+
+
+def _grams(size: int) -> Count:
+    def count(lemma: np.ndarray, _: np.ndarray, text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        last = len(lemma) - size + 1
+        if last <= 0:
+            return [np.empty(0, np.int64)] * size, np.empty(0, np.int64)
+        same = text[size - 1 :] == text[:last]
+        return _distinct([lemma[k : k + last][same] for k in range(size)])
+
+    return count
+
+
+def _in_texts(lemma: np.ndarray, _: np.ndarray, text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    found, n = np.unique(np.unique(text.astype(np.int64) << 32 | lemma) & 0xFFFFFFFF, return_counts=True)
+    return [found], n
 
 
 def _text(engine: core.Engine, texts: list[str | None]) -> pa.Array:
@@ -189,14 +358,6 @@ DETECTED = T.StructType([T.StructField("script", T.StringType()), T.StructField(
 Kernel = Callable[[core.Engine, list[str | None]], pa.Array]
 
 
-def _segment(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-    return _tokens(engine, texts, normalized=False)
-
-
-def _reconstruct(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-    return _tokens(engine, texts, original=True)
-
-
 class Tokenizer:
     """All entry points of one configuration.
 
@@ -224,24 +385,25 @@ class Tokenizer:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             engine = core.engine(config)
             for b in batches:
-                for part in _pieces(b.to_pylist()):
+                for part in _pieces(b):
                     yield kernel(engine, part)
+                    pa.default_memory_pool().release_unused()
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, kind)(F.col(text) if isinstance(text, str) else text)
 
-    def tokenize(self, text: Column | str, allow_list: Iterable[str] | None = None) -> Column:
-        """array<token>: segmented, normalised, classified."""
+    def tokenize(self, text: Column | str, allow_list: Iterable[str] | None = None, fields: Sequence[str] = ()) -> Column:
+        """array<token>: segmented, normalised, classified; with fields tokens have only these."""
         t = self if allow_list is None else self.with_allow_list(allow_list)
-        return t._column(_tokens, schema.TOKENS, text)
+        return t._column(partial(_tokens, fields=tuple(fields)), schema.tokens(fields), text)
 
-    def reconstruct(self, text: Column | str) -> Column:
+    def reconstruct(self, text: Column | str, fields: Sequence[str] = ()) -> Column:
         """array<struct<original, token>>."""
-        return self._column(_reconstruct, schema.RECONSTRUCTED, text)
+        return self._column(partial(_tokens, original=True, fields=tuple(fields)), schema.reconstructed(fields), text)
 
-    def segment(self, text: Column | str) -> Column:
+    def segment(self, text: Column | str, fields: Sequence[str] = ()) -> Column:
         """array<token> with raw lemmas and unknown kinds."""
-        return self._column(_segment, schema.TOKENS, text)
+        return self._column(partial(_tokens, normalized=False, fields=tuple(fields)), schema.tokens(fields), text)
 
     def segment_str(self, text: Column | str) -> Column:
         """array<string>."""
@@ -255,10 +417,71 @@ class Tokenizer:
         """array<array<string>>: the lemmas of word tokens by context; a hard separator begins a new one."""
         return self._column(_contexts, T.ArrayType(schema.STRINGS, False), text)
 
+    def context_sizes(self, text: Column | str) -> Column:
+        """array<int>: how many words each of the contexts has."""
+        return self._column(_context_sizes, T.ArrayType(T.IntegerType(), False), text)
+
     def lemma_counts(self, text: Column | str) -> Column:
         """array<struct<lemma, n>>: the text's distinct word lemmas and how often each stands in it."""
         return self._column(_lemma_counts, schema.COUNTS, text)
 
+    def _summed(self, count: Count, text: Column | str, between: str = "", most: int = SPAN) -> Column:
+        """array<struct<key, at, n>>: counts over spans of texts, dealt out to the rows of the span in shares.
+
+        key has the lemmas, joined by between, and at the length of the first in characters. Only sums
+        over all rows mean something: what a worker meets again and again leaves it once a span.
+        """
+        config = self.config
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            engine = core.engine(config)
+            ids: dict[str, int] = {}
+            span: list[tuple[np.ndarray, ...]] = []
+            rows = words = contexts = 0
+
+            def summed() -> Iterator[pa.Array]:
+                lemma, context, text = (np.concatenate(x) for x in zip(*span, strict=True))
+                columns, n = count(lemma, context, text)
+                lemmas = pa.array(list(ids), pa.string())
+                lengths = pc.utf8_length(lemmas).to_numpy()
+                shares = np.linspace(0, len(n), rows + 1).astype(np.int64)
+                for begin, end in _cuts(np.diff(shares), 1 << 16):
+                    a, b = shares[begin], shares[end]
+                    told = [lemmas.take(pa.array(c[a:b])) for c in columns]
+                    key = pc.binary_join_element_wise(*told, between) if len(told) > 1 else told[0]
+                    flat = pa.StructArray.from_arrays([key, pa.array(lengths[columns[0][a:b]]), pa.array(n[a:b].astype(np.int64))], names=["key", "at", "n"])
+                    yield _list(np.diff(shares[begin : end + 1]).tolist(), flat)
+
+            for b in batches:
+                for part in _pieces(b):
+                    t = _Coded(engine, part)
+                    context, n, per_row = t.contexts
+                    span.append((t.lemmas(ids).astype(np.int32), (context + contexts).astype(np.int32), (t.row[t.words] + rows).astype(np.int32)))
+                    words, contexts, rows = words + len(context), contexts + n, rows + len(part)
+                    if words > most:
+                        yield from summed()
+                        pa.default_memory_pool().release_unused()
+                        ids.clear(), span.clear()
+                        rows = words = contexts = 0
+            if rows:
+                yield from summed()
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        kind = T.ArrayType(T.StructType([T.StructField("key", T.StringType(), False), T.StructField("at", T.IntegerType(), False), T.StructField("n", T.LongType(), False)]), False)
+        return F.arrow_udf(run, kind)(F.col(text) if isinstance(text, str) else text)
+
+    def near_counts(self, text: Column | str, within: int) -> Column:
+        """array<struct<key, at, n>>: pairs of words at most within apart in a context, summed as in _summed."""
+        return self._summed(_near(within), text)
+
+    def gram_counts(self, text: Column | str, size: int) -> Column:
+        """array<struct<key, at, n>>: runs of so many words of a text, summed as in _summed."""
+        return self._summed(_grams(size), text, " ")
+
+    def text_counts(self, text: Column | str) -> Column:
+        """array<struct<key, at, n>>: texts that have a word, summed as in _summed."""
+        return self._summed(_in_texts, text)
+
     def normalize_text(self, text: Column | str) -> Column:
         """Every normaliser on the whole string, no gate asked."""
         return self._column(_text, T.StringType(), text)
@@ -324,10 +547,10 @@ class Tokenizer:
     def transform(self, df: DataFrame, text_col: str = "text", output: str = "tokens") -> DataFrame:
         return df.withColumn(output, self.tokenize(text_col))
 
-    def explode(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """One row a token: the other columns, pos, and the token's fields."""
+    def explode(self, df: DataFrame, text_col: str = "text", fields: Sequence[str] = ()) -> DataFrame:
+        """One row a token: the other columns, pos, and the token's fields (or those named)."""
         # the generator takes the function itself: over a column, a filter on it would be inferred, and the function run twice
-        rows = df.select(*[c for c in df.columns if c != text_col], F.posexplode(self.tokenize(text_col)).alias("pos", "_t"))
+        rows = df.select(*[c for c in df.columns if c != text_col], F.posexplode(self.tokenize(text_col, fields=fields)).alias("pos", "_t"))
         return rows.select("*", "_t.*").drop("_t")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import types as T
 
@@ -26,6 +28,17 @@ ORIGINAL = T.StructType([T.StructField("original", T.StringType(), False), T.Str
 
 TOKENS = T.ArrayType(TOKEN, False)
 RECONSTRUCTED = T.ArrayType(ORIGINAL, False)
+
+
+def tokens(fields: Sequence[str] = ()) -> T.ArrayType:
+    """Tokens with these fields alone; with all, if none are named."""
+    return T.ArrayType(T.StructType([TOKEN[name] for name in fields]), False) if fields else TOKENS
+
+
+def reconstructed(fields: Sequence[str] = ()) -> T.ArrayType:
+    return T.ArrayType(T.StructType([ORIGINAL["original"], T.StructField("token", tokens(fields).elementType, False)]), False)
+
+
 STRINGS = T.ArrayType(T.StringType(), False)
 COUNTS = T.ArrayType(T.StructType([T.StructField("lemma", T.StringType(), False), T.StructField("n", T.LongType(), False)]), False)
 
