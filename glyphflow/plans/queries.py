@@ -237,14 +237,14 @@ def allow_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the filter is on the text: one on the tokens would be moved below the function, and the function run twice
-    rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().tokenize("text").alias("t"))
-    count = lambda f: F.size(F.filter("t", f)).cast("long")
+    rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().tokenize("text", fields=("kind", "separator_kind", "lemma")).alias("t"))
+    count = lambda values, x: (F.size("t") - F.size(F.array_remove(values, x))).cast("long")
     return rows.select(
         "doc_id",
         F.size("t").cast("long").alias("n_tokens"),
-        count(G.is_word).alias("n_words"),
-        count(lambda t: G.separator_kind(t) == "hard").alias("n_hard"),
-        count(lambda t: G.separator_kind(t) == "soft").alias("n_soft"),
+        count("t.kind", "word").alias("n_words"),
+        count("t.separator_kind", "hard").alias("n_hard"),
+        count("t.separator_kind", "soft").alias("n_soft"),
         _digest(F.col("t.lemma")).alias("lemmas_sha256"),
     )
 
