@@ -255,9 +255,9 @@ _OFFSETS = "sum(len(p)) OVER w AS ce, sum(strlen(p)) OVER w AS be"
 @query(f"""WITH {_DOC_TOKENS}, o AS (SELECT doc_id, p, {_OFFSETS} FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, CAST(sum(ce - len(p)) AS BIGINT) AS char_starts, CAST(sum(ce) AS BIGINT) AS char_ends, CAST(sum(be - strlen(p)) AS BIGINT) AS byte_starts, CAST(sum(be) AS BIGINT) AS byte_ends FROM o GROUP BY doc_id""")
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().segment("text").alias("t"))
-    total = lambda f: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + t[f])
-    return rows.select("doc_id", *(total(f).alias(f"{f}s") for f in ("char_start", "char_end", "byte_start", "byte_end")))
+    fields = ("char_start", "char_end", "byte_start", "byte_end")
+    rows = _texts(spark, sf_dir).select("doc_id", F.inline(Tokenizer().segment("text", fields)))
+    return rows.groupBy("doc_id").agg(*(F.sum(f).alias(f"{f}s") for f in fields))
 
 
 @query(f"""WITH {_DOC_TOKENS}, o AS (SELECT doc_id, pos, p, {_OFFSETS} FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
