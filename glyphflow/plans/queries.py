@@ -272,8 +272,8 @@ def offsets_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, true AS same FROM documents")
 def reconstruct_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The originals of all tokens, in order, are the text."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", Tokenizer().reconstruct("text").alias("r"))
-    return rows.select("doc_id", (F.array_join(F.transform("r", lambda x: x["original"]), "") == F.col("text")).alias("same"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", Tokenizer().reconstruct("text", ("char_end",)).alias("r"))
+    return rows.select("doc_id", (F.array_join("r.original", "") == F.col("text")).alias("same"))
 
 
 @query(f"WITH {_DOC_TOKENS} SELECT lang, kind, coalesce(separator_kind, '') AS separator_kind, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY ALL")
