@@ -278,7 +278,7 @@ def reconstruct_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOC_TOKENS} SELECT lang, kind, coalesce(separator_kind, '') AS separator_kind, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY ALL")
 def classify_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = Tokenizer().explode(_table(spark, sf_dir, "documents").select("lang", "text"))
+    tokens = Tokenizer().explode(_table(spark, sf_dir, "documents").select("lang", "text"), fields=("kind", "separator_kind"))
     return tokens.groupBy("lang", "kind", F.coalesce("separator_kind", F.lit("")).alias("separator_kind")).agg(F.count("*").alias("n"))
 
 
