@@ -322,9 +322,9 @@ def builder_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_DOC_TOKENS} SELECT doc_id, CAST(sum(strlen(lemma)) AS BIGINT) AS byte_len, CAST(sum(strlen(p)) AS BIGINT) AS original_byte_len, CAST(sum(len(lemma)) AS BIGINT) AS char_count, CAST(sum(len(p)) AS BIGINT) AS original_char_count FROM tok GROUP BY doc_id""")
 def token_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _texts(spark, sf_dir).select("doc_id", Tokenizer().tokenize("text").alias("t"))
-    total = lambda f: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + f(t))
-    return rows.select("doc_id", *(total(f).alias(f.__name__) for f in (G.byte_len, G.original_byte_len, G.char_count, G.original_char_count)))
+    fields = ("lemma", "char_start", "char_end", "byte_start", "byte_end")
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode(Tokenizer().tokenize("text", fields=fields)).alias("t"))
+    return rows.groupBy("doc_id").agg(*(F.sum(f(F.col("t"))).alias(f.__name__) for f in (G.byte_len, G.original_byte_len, G.char_count, G.original_char_count)))
 
 
 _COVERED = "sum(n) OVER (PARTITION BY conv_id, turn, t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
