@@ -4,6 +4,7 @@ original_lengths, and tokenize_rows for LATERAL."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -34,15 +35,17 @@ def register(spark: SparkSession, config: TokenizerConfig | None = None) -> None
     config = config or TokenizerConfig()
 
     def scalar(name: str, kernel: op.Kernel, kind: T.DataType) -> None:
-        def run(texts: pa.Array) -> pa.Array:
-            out = [kernel(core.engine(config), part) for part in op._pieces(texts.to_pylist())]
-            return pa.concat_arrays(out) if len(out) > 1 else out[0]
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                for part in op._pieces(b):
+                    yield kernel(core.engine(config), part)
+                    pa.default_memory_pool().release_unused()
 
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         spark.udf.register(name, F.arrow_udf(run, kind))
 
     scalar("tokenize", op._tokens, schema.TOKENS)
-    scalar("segment", op._segment, schema.TOKENS)
+    scalar("segment", partial(op._tokens, normalized=False), schema.TOKENS)
     scalar("segment_str", op._strings, schema.STRINGS)
     scalar("normalize_text", op._text, T.StringType())
     scalar("detect_script", lambda e, t: pa.array([None if x is None else e.detect(x) for x in t], pa.string()), T.StringType())
