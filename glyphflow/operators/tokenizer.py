@@ -8,7 +8,7 @@ bound the memory of a worker, not the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import cache, cached_property, partial
 from itertools import pairwise
 from typing import NamedTuple
@@ -490,38 +490,52 @@ class Tokenizer:
         """struct<script, language>."""
         return self._column(_detected, DETECTED, text)
 
-    def segment_with(self, text: Column | str, segmenter: str) -> Column:
-        """array<string>: one segmenter on the text, without detection and separators."""
+    def _each(self, texts: Column | str | Mapping[str, Column], names: Sequence[str], functions: Callable[[core.Engine], list[Callable[[str], object]]], listed: bool) -> Column:
+        """struct<name, ...>: a function of each name, of one text or each of its own, in one pass of one worker."""
+        config, own = self.config, isinstance(texts, Mapping)
 
-        def kernel(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-            cut = core.segmenter(segmenter, engine.config)
-            got = [None if t is None else cut(t) if t else [] for t in texts]
-            return pa.array(got, pa.list_(pa.string()))
+        def made(f: Callable[[str], object], column: list[str | None]) -> pa.Array:
+            got = [None if t is None else (f(t) if t or not listed else []) for t in column]
+            if not listed:
+                return pa.array(got, pa.string())
+            return _list([None if g is None else len(g) for g in got], pa.array([p for g in got if g for p in g], pa.string()))
 
-        if segmenter not in core.SEGMENTERS:
-            raise ValueError(f"unknown segmenter {segmenter!r}")
-        return self._column(kernel, schema.STRINGS, text)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            made_of = functions(core.engine(config))
+            for b in batches:
+                columns = b.flatten() if own else [b]
+                sizes = sum(pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+                for begin, end in _cuts(sizes, PIECE):
+                    part = [c.slice(begin, end - begin).to_pylist() for c in columns]
+                    part = part if own else part * len(names)
+                    yield pa.StructArray.from_arrays([made(f, c) for f, c in zip(made_of, part, strict=True)], names=list(names))
+                    pa.default_memory_pool().release_unused()
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        kind = schema.STRINGS if listed else T.StringType()
+        column = F.struct(*(texts[n].alias(n) for n in names)) if own else F.col(texts) if isinstance(texts, str) else texts
+        return F.arrow_udf(run, T.StructType([T.StructField(n, kind) for n in names]))(column)
 
-    def segment_with_each(self, text: Column | str, segmenters: Iterable[str]) -> Column:
-        """struct<name: array<string>, ...>: several segmenters on the text, in one pass over it."""
+    def segment_with(self, text: Column | str, segmenter: str) -> Column:
+        """array<string>: one segmenter on the text, without detection and separators."""
+        return self.segment_with_each(text, [segmenter])[segmenter]
+
+    def segment_with_each(self, text: Column | str | Mapping[str, Column], segmenters: Iterable[str]) -> Column:
+        """struct<name: array<string>, ...>: several segmenters on the text, or each on its own, in one pass."""
         names = list(segmenters)
         if unknown := set(names) - set(core.SEGMENTERS):
             raise ValueError(f"unknown segmenters {sorted(unknown)}")
-
-        def kernel(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-            cuts = [core.segmenter(n, engine.config) for n in names]
-            return pa.StructArray.from_arrays([pa.array([None if t is None else cut(t) if t else [] for t in texts], pa.list_(pa.string())) for cut in cuts], names=names)
-
-        return self._column(kernel, T.StructType([T.StructField(n, schema.STRINGS) for n in names]), text)
+        return self._each(text, names, lambda engine: [core.segmenter(n, engine.config) for n in names], True)
 
     def normalize_with(self, text: Column | str, normalizer: str, script: str = "Other", language: str | None = None, gated: bool = True) -> Column:
         """One normaliser on whole strings of one script and language; its gate is asked unless gated is false."""
 
-        def kernel(engine: core.Engine, texts: list[str | None]) -> pa.Array:
-            return pa.array([None if t is None else engine.normalizer.one(normalizer, t, script, language, gated) for t in texts], pa.string())
-
-        core.Normalizer(self.config).one(normalizer, "", script, language, False)  # an unknown name fails here
-        return self._column(kernel, T.StringType(), text)
+    def normalize_with_each(self, texts: Mapping[str, Column], normalizers: Mapping[str, tuple[str, str | None]], gated: bool = True) -> Column:
+        """struct<name: string, ...>: several normalisers, each on a text of its own of one script and language, in one pass."""
+        asked = dict(normalizers)
+        for name, (script, language) in asked.items():
+            core.Normalizer(self.config).one(name, "", script, language, False)  # an unknown name fails here
+        return self._each(texts, list(asked), lambda engine: [engine.normalizer.single(n, *of, gated) for n, of in asked.items()], False)
 
     def normalize_tokens(self, tokens: Column | str) -> Column:
         """array<token> from segment() -> array<token>, gates asked; offsets stay."""
@@ -549,6 +563,7 @@ class Tokenizer:
 
     def explode(self, df: DataFrame, text_col: str = "text", fields: Sequence[str] = ()) -> DataFrame:
         """One row a token: the other columns, pos, and the token's fields (or those named)."""
+        return self.normalize_with_each({normalizer: F.col(text) if isinstance(text, str) else text}, {normalizer: (script, language)}, gated)[normalizer]
         # the generator takes the function itself: over a column, a filter on it would be inferred, and the function run twice
         rows = df.select(*[c for c in df.columns if c != text_col], F.posexplode(self.tokenize(text_col, fields=fields)).alias("pos", "_t"))
         return rows.select("*", "_t.*").drop("_t")

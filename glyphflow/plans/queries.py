@@ -214,7 +214,9 @@ _BY_LEXICON = {"thai": False, "khmer": False, "korean": False, "german": True}
 def lexicon_segmenters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest word of a lexicon at each place, on every turn between two samples."""
     t, rows = Tokenizer(), _table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", *(_digest(t.segment_with(F.concat(F.lit(SAMPLES[name]), "text", F.lit(SAMPLES[name])), name)).alias(name) for name in _BY_LEXICON))
+    texts = {name: F.concat(F.lit(SAMPLES[name]), "text", F.lit(SAMPLES[name])) for name in _BY_LEXICON}
+    rows = rows.select("conv_id", "turn", t.segment_with_each(texts, _BY_LEXICON).alias("s"))
+    return rows.select("conv_id", "turn", *(_digest(F.col(f"s.{name}")).alias(name) for name in _BY_LEXICON))
 
 
 _ALLOWED = {"japanese": ("jpn",), "chinese": ("cmn",), "detected": ("eng", "cmn"), "free": None}
