@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
 from . import tables
@@ -30,7 +30,7 @@ class TokenizerConfig:
     pinyin: tuple[tuple[str, str], ...] = ()
     kvariants: tuple[tuple[str, str], ...] | None = None
     lexicons: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    language_model: object | None = field(default=None, compare=False)
+    language_model: object | None = None
     #: characters that a lexicon segmenter hands on together at most where no word begins, by name
     buffers: tuple[tuple[str, int | None], ...] = ()
     #: (script, language or None, function text -> parts): beside or in place of the registered segmenters
