@@ -266,21 +266,15 @@ def _tokens(engine: core.Engine, texts: list[str | None], normalized: bool = Tru
     def char_map() -> pa.Array:
         if not (normalized and engine.config.create_char_map):
             return pa.nulls(n, schema.ARROW_CHAR_MAP)
-        maps = [f[2] for f in t.facts]
-        flat = [x for m in maps if m for x in m]
-        pairs = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int16()), pa.array([b for _, b in flat], pa.int16())], names=["orig", "norm"])
-        return _list([None if m is None else len(m) for m in maps], pairs).take(pa.array(t.codes))
-
-    def kind(i: int) -> pa.Array:
-        return pa.array([k[i] for k in core.KINDS], pa.string()).take(pa.array(t.kinds))
+        return _char_maps([f[2] for f in t.facts]).take(pa.array(t.codes))
 
     def key(i: int) -> pa.Array:
         number = np.repeat(np.arange(len(t.keys), dtype=np.int32), [k[2] for k in t.keys])
         return pa.array([k[i] for k in t.keys], pa.string()).take(pa.array(number[t.codes]))
 
     make: dict[str, Callable[[], pa.Array]] = {
-        "kind": lambda: kind(0) if normalized else _repeated("unknown", n),
-        "separator_kind": lambda: kind(1) if normalized else pa.nulls(n, pa.string()),
+        "kind": lambda: _kind_names(t.kinds)[0] if normalized else _repeated("unknown", n),
+        "separator_kind": lambda: _kind_names(t.kinds)[1] if normalized else pa.nulls(n, pa.string()),
         "lemma": lambda: pa.array([f[0] for f in t.facts], pa.string()).take(pa.array(t.codes)) if normalized else t.originals,
         **{name: lambda name=name: ends(name) for name in ("char_start", "char_end", "byte_start", "byte_end")},
         "char_map": char_map,
@@ -294,6 +288,45 @@ def _tokens(engine: core.Engine, texts: list[str | None], normalized: bool = Tru
     return _list(t.counts, token)
 
 
+def _char_maps(maps: list[core.CharMap | None]) -> pa.Array:
+    flat = [x for m in maps if m for x in m]
+    pairs = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int16()), pa.array([b for _, b in flat], pa.int16())], names=["orig", "norm"])
+    return _list([None if m is None else len(m) for m in maps], pairs)
+
+
+def _kind_names(numbers: np.ndarray) -> list[pa.Array]:
+    """Kinds and kinds of separators by number."""
+    return [pa.array([k[i] for k in core.KINDS], pa.string()).take(pa.array(numbers)) for i in (0, 1)]
+
+
+def _normalized(engine: core.Engine, rows: pa.ListArray) -> pa.Array:
+    """Tokens with their lemmas normalised; each distinct lemma of a script and language once."""
+    flat = rows.flatten()
+    columns = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+    coded = [columns[name].dictionary_encode(null_encoding="encode") for name in ("lemma", "script", "language")]
+    number = np.zeros(len(flat), np.int64)
+    for c in coded:
+        number = number * max(1, len(c.dictionary)) + c.indices.to_numpy()
+    found, first, at = np.unique(number, return_index=True, return_inverse=True)
+    lemma, script, language = (columns[name].take(pa.array(first)).to_pylist() for name in ("lemma", "script", "language"))
+    by_key: dict[tuple[str, str | None], list[int]] = {}
+    for k, key in enumerate(zip(script, language, strict=True)):
+        by_key.setdefault(key, []).append(k)
+    facts: list[tuple] = [()] * len(found)
+    for key, places in by_key.items():
+        for k, fact in zip(places, engine.facts([lemma[k] for k in places], *key), strict=True):
+            facts[k] = fact
+    codes = pa.array(at.astype(np.int32))
+    kinds, hard = _kind_names(np.array([f[1] for f in facts], np.int32)[at])
+    unknown = pc.equal(columns["kind"], "unknown")
+    columns["kind"] = pc.if_else(unknown, kinds, columns["kind"])
+    columns["separator_kind"] = pc.if_else(unknown, hard, columns["separator_kind"])
+    columns["lemma"] = pa.array([f[0] for f in facts], pa.string()).take(codes)
+    columns["char_map"] = _char_maps([f[2] for f in facts]).take(codes) if engine.config.create_char_map else pa.nulls(len(flat), schema.ARROW_CHAR_MAP)
+    token = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return _list(pc.list_value_length(rows).to_pylist(), token)
+
+
 # -- counts over many texts
 
 #: Of the words of a span, their contexts and texts: columns of lemmas' numbers that stand together, and how often they do.
@@ -529,6 +562,7 @@ class Tokenizer:
 
     def normalize_with(self, text: Column | str, normalizer: str, script: str = "Other", language: str | None = None, gated: bool = True) -> Column:
         """One normaliser on whole strings of one script and language; its gate is asked unless gated is false."""
+        return self.normalize_with_each({normalizer: F.col(text) if isinstance(text, str) else text}, {normalizer: (script, language)}, gated)[normalizer]
 
     def normalize_with_each(self, texts: Mapping[str, Column], normalizers: Mapping[str, tuple[str, str | None]], gated: bool = True) -> Column:
         """struct<name: string, ...>: several normalisers, each on a text of its own of one script and language, in one pass."""
@@ -544,14 +578,9 @@ class Tokenizer:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             engine = core.engine(config)
             for b in batches:
-                rows = b.to_pylist()
-                for row in rows:
-                    for t in row or ():
-                        lemma, kind, hard, chars = engine.normalizer.normalize(t["lemma"], t["script"], t["language"])
-                        if t["kind"] != "unknown":
-                            kind, hard = t["kind"], t["separator_kind"]
-                        t |= {"lemma": lemma, "kind": kind, "separator_kind": hard, "char_map": None if chars is None else [{"orig": a, "norm": c} for a, c in chars]}
-                yield pa.array(rows, b.type)
+                for begin, end in _cuts(pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False), PIECE >> 2):
+                    yield _normalized(engine, b.slice(begin, end - begin))
+                    pa.default_memory_pool().release_unused()
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, schema.TOKENS)(F.col(tokens) if isinstance(tokens, str) else tokens)
@@ -563,7 +592,6 @@ class Tokenizer:
 
     def explode(self, df: DataFrame, text_col: str = "text", fields: Sequence[str] = ()) -> DataFrame:
         """One row a token: the other columns, pos, and the token's fields (or those named)."""
-        return self.normalize_with_each({normalizer: F.col(text) if isinstance(text, str) else text}, {normalizer: (script, language)}, gated)[normalizer]
         # the generator takes the function itself: over a column, a filter on it would be inferred, and the function run twice
         rows = df.select(*[c for c in df.columns if c != text_col], F.posexplode(self.tokenize(text_col, fields=fields)).alias("pos", "_t"))
         return rows.select("*", "_t.*").drop("_t")
