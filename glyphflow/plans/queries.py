@@ -553,7 +553,9 @@ _ENGINE: dict[str, tuple[str, str | None, str, str]] = {
 def engine_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single steps of the engine that tokenize() runs, by script and language, on every turn with an ending that they change."""
     t, rows = Tokenizer(), _table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", *(F.sha2(t.normalize_with(F.concat("text", F.lit(f" {ending}")), name, script, language), 256).alias(name) for name, (script, language, ending, _) in _ENGINE.items()))
+    texts = {name: F.concat("text", F.lit(f" {ending}")) for name, (_, _, ending, _) in _ENGINE.items()}
+    rows = rows.select("conv_id", "turn", t.normalize_with_each(texts, {name: (script, language) for name, (script, language, _, _) in _ENGINE.items()}).alias("n"))
+    return rows.select("conv_id", "turn", *(F.sha2(F.col(f"n.{name}"), 256).alias(name) for name in _ENGINE))
 
 
 _RANGES = {"Persian": "می‌خواهم چرا", "Hiragana": "かな", "Katakana": "カナ", "Mandarin": "漢字", "Arabic": "العربية", "Khmer": "ខ្មែរ"}
