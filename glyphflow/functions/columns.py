@@ -217,40 +217,45 @@ def original_lengths(token: Column, num_bytes: Column | int) -> Column:
     return F.struct(out["chars"].alias("chars"), out["bytes"].alias("bytes"))
 
 
-#: Segments whose offsets are summed by copying one array; with n segments that is n * BLOCK copies.
-BLOCK = 128
+#: How often the sums of four values each are summed in the same way; with n values, n / 4 ** LEVELS are summed by copying an array.
+LEVELS = 9
 
 
-def with_offsets(segments: Column | str) -> Column:
-    """array<struct<segment, char_start, char_end, byte_start, byte_end>> by running sums.
+def _running_sums(values: Column, levels: int = LEVELS) -> Column:
+    """array<bigint>: running sums of an array<bigint> that is not null.
 
-    A running sum in a row copies its array at each step, so segments are summed in blocks:
-    first where each block begins, then within each.
+    A running sum in a row copies its array at each step, so the sums of four values each are
+    summed first, which tells where each four begin. In the last four, places beyond the end are
+    null and are cut off; what they sum to is never asked.
     """
-    rows = "array<struct<segment:string,char_start:int,char_end:int,byte_start:int,byte_end:int>>"
-    none = F.array().cast(rows)
-    at = lambda c, b: F.struct(c.alias("c"), b.alias("b"))
-
-    def first(acc: Column, block: Column) -> Column:
-        c, b = F.aggregate(block, F.lit(0), lambda n, s: n + F.char_length(s)), F.aggregate(block, F.lit(0), lambda n, s: n + F.octet_length(s))
-        return F.struct((acc["c"] + c).alias("c"), (acc["b"] + b).alias("b"), F.concat(acc["out"], F.array(at(acc["c"], acc["b"]))).alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        c, b = acc["c"] + F.char_length(s), acc["b"] + F.octet_length(s)
-        one = F.struct(s.alias("segment"), acc["c"].alias("char_start"), c.alias("char_end"), acc["b"].alias("byte_start"), b.alias("byte_end"))
-        return F.struct(c.alias("c"), b.alias("b"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    def within(block: Column, start: Column) -> Column:
-        return F.aggregate(block, F.struct(start["c"].alias("c"), start["b"].alias("b"), none.alias("out")), add, lambda acc: acc["out"])
-
-    def of(blocks: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast("array<struct<c:int,b:int>>").alias("out"))
-        starts = F.aggregate(blocks, zero, first, lambda acc: acc["out"])
-        return F.flatten(F.zip_with(blocks, starts, within))
-
-    def cut(s: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / F.lit(BLOCK)).cast("int"))
-        return F.when(F.size(s) == 0, none).when(s.isNotNull(), _let(F.transform(numbers, lambda i: F.slice(s, i * BLOCK + 1, F.lit(BLOCK))), of))
+    zero = F.lit(0).cast("bigint")
+    if not levels:
+        sums = F.aggregate(values, F.array(zero), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x)))
+        return F.slice(sums, F.lit(2), F.size(values))
+    fours = F.sequence(F.lit(0), F.shiftright(F.size(values) - 1, 2))
+    value = lambda i, k: F.get(values, F.shiftleft(i, 2) + k)
+
+    def of(ends: Column) -> Column:
+        def four(i: Column) -> Column:
+            a = F.coalesce(F.get(ends, i - 1), zero) + value(i, 0)
+            return F.array(a, a + value(i, 1), a + value(i, 1) + value(i, 2), a + value(i, 1) + value(i, 2) + value(i, 3))
+
+        return F.slice(F.flatten(F.transform(fours, four)), F.lit(1), F.size(values))
+
+    sums = F.transform(fours, lambda i: value(i, 0) + value(i, 1) + value(i, 2) + value(i, 3))
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(_let(_let(sums, lambda x: _running_sums(x, levels - 1)), of))
+
+
+def with_offsets(segments: Column | str) -> Column:
+    """array<struct<segment, char_start, char_end, byte_start, byte_end>> by running sums, of characters and bytes in one number."""
+
+    def told(s: Column, end: Column) -> Column:
+        c, b = F.shiftright(end, 32).cast("int"), end.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        return F.struct(s.alias("segment"), (c - F.char_length(s)).alias("char_start"), c.alias("char_end"), (b - F.octet_length(s)).alias("byte_start"), b.alias("byte_end"))
+
+    def of(s: Column) -> Column:
+        sizes = F.transform(s, lambda x: F.shiftleft(F.char_length(x).cast("bigint"), 32) + F.octet_length(x))
+        return F.when(s.isNotNull(), F.zip_with(s, _let(sizes, lambda x: _running_sums(x)), told))
 
     return _let(_col(segments), cut)
 
