@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +28,77 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 # -- grouping and splitting
 
 
+#: Below this are the characters of most Latin text; those of other scripts are above.
+_COMMON = 0x250
+
+
+def _quick(ranges: tables.Ranges) -> str:
+    """A class that finds bytes in one table and other common characters before it walks through all ranges."""
+    few = "".join(f"\\x{{{cp:X}}}" for lo, hi in ranges for cp in range(lo, min(hi, 0xFF) + 1))
+    common = tables.char_class(tuple((max(lo, 0x100), min(hi, _COMMON - 1)) for lo, hi in ranges if hi >= 0x100 and lo < _COMMON))
+    rest = tables.char_class(tuple((max(lo, _COMMON), hi) for lo, hi in ranges if hi >= _COMMON))
+    parts = [f"[{x}]" for x in (few, common) if x] + [f"[\\x{{{_COMMON:X}}}-\\x{{10FFFF}}&&[{rest}]]"] * bool(rest)
+    return f"[{''.join(parts)}]"
+
+
+def _without(ranges: tables.Ranges, end: int = 0x110000) -> tables.Ranges:
+    out, at = [], 0
+    for lo, hi in sorted(ranges):
+        if at < min(lo, end):
+            out.append((at, min(lo, end) - 1))
+        at = max(at, hi + 1)
+    return (*out, (at, end - 1)) if at < end else tuple(out)
+
+
+@cache
+def _group_pattern() -> str:
+    """tables.group_pattern() of quick classes."""
+    others = tables.other_ranges()
+    runs = "|".join(f"{_quick(own)}{_quick(tuple(sorted((*own, *others))))}*" for own in map(tables.exclusive_ranges, tables.SCRIPT_RANGES))
+    return f"\\A{_quick(others)}+\\z|(?:\\A{_quick(others)}+)?(?:{runs})"
+
+
+@cache
+def _split_pattern() -> str:
+    """tables.split_pattern() of quick classes: what is no separator first, as every separator of more characters begins with one."""
+    separators = tables.separator_ranges()
+    return f"{_quick(_without(separators))}+|\\. |, |\\x{{17D4}}\\x{{179B}}\\x{{17D4}}|{_quick(separators)}"
+
+
+@cache
+def _ascii_split_pattern() -> str:
+    separators = tables.ascii_only(tables.separator_ranges())
+    return f"{_quick(_without(separators, 0x80))}+|\\. |, |{_quick(separators)}"
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def script_groups(text: Column | str) -> Column:
     """array<string>: maximal runs of one script."""
-    return F.regexp_extract_all(_col(text), F.lit(tables.group_pattern()), F.lit(0))
+    return F.regexp_extract_all(_col(text), F.lit(_group_pattern()), F.lit(0))
+
+
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def split_separators(text: Column | str) -> Column:
     """array<string>: default separators and what lies between; ASCII rows use a class of ASCII ranges."""
     text = _col(text)
-    plain = F.lit(tables.split_pattern(tables.ascii_only(tables.separator_ranges())))
-    wide = F.lit(tables.split_pattern())
-    return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), F.regexp_extract_all(text, plain, F.lit(0))).otherwise(F.regexp_extract_all(text, wide, F.lit(0)))
+    return F.when(_is_ascii(text), _all(text, _ascii_split_pattern())).otherwise(_all(text, _split_pattern()))
 
 
 def segment_native(text: Column | str) -> Column:
     """array<string>: groups, then separators; equal to segment_str() where no dictionary segmenter is asked for."""
     text = _col(text)
-    others = _class(tuple(r for s in tables.SCRIPT_RANGES if s != "Latin" for r in tables.exclusive_ranges(s)))
-    return F.when(text.rlike(others), F.flatten(F.transform(script_groups(text), split_separators))).otherwise(split_separators(text))
+    others = _quick(tuple(sorted(r for s in tables.SCRIPT_RANGES if s != "Latin" for r in tables.exclusive_ranges(s))))
+    return (
+        F.when(_is_ascii(text), _all(text, _ascii_split_pattern()))
+        .when(text.rlike(others), F.flatten(F.transform(script_groups(text), split_separators)))
+        .otherwise(_all(text, _split_pattern()))
+    )
 
 
 def split_custom(text: Column | str, words: Iterable[str]) -> Column:
@@ -257,7 +310,7 @@ def with_offsets(segments: Column | str) -> Column:
         sizes = F.transform(s, lambda x: F.shiftleft(F.char_length(x).cast("bigint"), 32) + F.octet_length(x))
         return F.when(s.isNotNull(), F.zip_with(s, _let(sizes, lambda x: _running_sums(x)), told))
 
-    return _let(_col(segments), cut)
+    return _let(_col(segments), of)
 
 
 # -- normalisers that are tables
