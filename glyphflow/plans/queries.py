@@ -293,7 +293,7 @@ def classify_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop words come before separators; the comparison looks at case."""
     rows = _table(spark, sf_dir, "conversations").select("role", F.explode(G.segment_native("text")).alias("p"))
     kind = G.classify("p", stop_words=["the", "of", " "])["kind"]
-    return rows.groupBy("role", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return rows.groupBy("role", "p").count().groupBy("role", kind.alias("kind")).agg(F.sum("count").alias("n"))
 
 
 _STOPS = "(SELECT DISTINCT lower(r_name) AS w FROM region UNION SELECT 'the' UNION SELECT 'of' UNION SELECT 'and')"
@@ -305,8 +305,9 @@ def stop_words_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([("the",), ("of",), ("and",)], "w string")
     stops = _table(spark, sf_dir, "region").select(F.lower("r_name").alias("w")).union(more)
     rows = _table(spark, sf_dir, "conversations").select("role", F.explode(G.segment_native("text")).alias("lemma"))
-    rows = rows.withColumn("kind", G.classify("lemma")["kind"])
-    return G.mark_stop_words(rows, stops).groupBy("role", "kind").agg(F.count("*").alias("n"))
+    # what is the same for a segment wherever it stands is asked once
+    rows = rows.groupBy("role", "lemma").count().withColumn("kind", G.classify("lemma")["kind"])
+    return G.mark_stop_words(rows, stops).groupBy("role", "kind").agg(F.sum("count").alias("n"))
 
 
 @query(
