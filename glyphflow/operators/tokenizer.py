@@ -59,11 +59,13 @@ def _list(counts: list[int | None], values: pa.Array) -> pa.ListArray:
 
 @cache
 def _is_in(kind: str) -> np.ndarray:
-    """By code point whether it is a default separator, Latin, or of a script that takes more than splitting."""
+    """By code point whether it is a default separator, Latin, a control character, or of a script that takes more than splitting."""
     if kind == "separator":
         ranges = tables.separator_ranges()
     elif kind == "latin":
         ranges = tables.exclusive_ranges("Latin")
+    elif kind == "control":
+        ranges = ((0, 0x1F), (0x7F, 0x9F))
     else:
         ranges = ((0x530, 0x58F), *(r for s in tables.SCRIPT_RANGES if s != "Latin" for r in tables.exclusive_ranges(s)))
     out = np.zeros(0x110000, bool)
@@ -77,12 +79,13 @@ class _Run(NamedTuple):
 
     counts: np.ndarray
     values: pa.Array
+    controlled: np.ndarray  # segments with a control character
     script: str
     language: str | None
 
 
-def _split(points: np.ndarray, joined: bytes, begins: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Of texts set end to end, split by the default rules: how many segments each has, and the segments."""
+def _split(points: np.ndarray, joined: bytes, begins: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of texts set end to end, split by the default rules: how many segments each has, the segments, and which have control characters."""
     separator = _is_in("separator")[points]
     starts = separator.copy()
     starts[1:] |= separator[:-1]
@@ -90,10 +93,11 @@ def _split(points: np.ndarray, joined: bytes, begins: np.ndarray) -> tuple[np.nd
     starts[begins[:-1][begins[:-1] < begins[1:]]] = True
     at = np.append(np.flatnonzero(starts), len(points))
     counts = np.diff(np.searchsorted(at, begins))
+    controlled = np.searchsorted(at, np.flatnonzero(_is_in("control")[points]), "right") - 1
     if len(joined) > len(points):
         widths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         at = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])[at]
-    return counts, pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(joined))
+    return counts, pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(joined)), controlled
 
 
 def _runs(engine: core.Engine, texts: list[str]) -> Iterator[_Run | list[tuple[list[str], str, str | None]]]:
@@ -148,56 +152,81 @@ def _with_nulls(texts: list[str | None], there: list[int]) -> list[int | None]:
 class _Coded:
     """Tokens of a piece as codes into a table of its distinct segments by script and language.
 
-    What is known of a segment is looked up once for all of its tokens, which are then taken from the table.
+    What is known of a segment is looked up once for all of its tokens, which are then taken from the table;
+    words of ASCII never become Python strings.
     """
 
     def __init__(self, engine: core.Engine, texts: list[str | None]) -> None:
         self.engine = engine
-        self.segments: list[str] = []
-        tables_: list[pa.Array] = [pa.array([], pa.string())]
-        self.keys: list[tuple[str, str | None, int]] = []  # script, language, how many segments
+        #: script, language, distinct segments, and which of them have control characters (None: unknown)
+        self.parts: list[tuple[str, str | None, pa.Array, np.ndarray | None]] = []
         own: dict[tuple[str, str | None], dict[str, int]] = {}
         there: list[int] = []
         codes: list[np.ndarray] = [np.empty(0, np.int32)]
+        size = 0
         for run in _runs(engine, [t for t in texts if t is not None]):
             if isinstance(run, _Run):
                 coded = run.values.dictionary_encode()
-                codes.append(coded.indices.to_numpy() + np.int32(len(self.segments)))
-                tables_.append(coded.dictionary)
-                self._add(coded.dictionary.to_pylist(), run.script, run.language)
+                at = coded.indices.to_numpy()
+                self.parts.append((run.script, run.language, coded.dictionary, at[run.controlled]))
+                codes.append(at + np.int32(size))
+                size += len(coded.dictionary)
                 there += run.counts.tolist()
                 continue
             n = 0
             for parts, script, language in run:
                 known = own.setdefault((script, language), {})
                 if new := [p for p in dict.fromkeys(parts) if p not in known]:
-                    known.update(zip(new, range(len(self.segments), len(self.segments) + len(new)), strict=True))
-                    tables_.append(pa.array(new, pa.string()))
-                    self._add(new, script, language)
+                    known.update(zip(new, range(size, size + len(new)), strict=True))
+                    self.parts.append((script, language, pa.array(new, pa.string()), None))
+                    size += len(new)
                 codes.append(np.array([known[p] for p in parts], np.int32))
                 n += len(parts)
             there.append(n)
         self.counts = _with_nulls(texts, there)
-        self.table = pa.concat_arrays(tables_)
+        self.table = pa.concat_arrays([pa.array([], pa.string()), *(x[2] for x in self.parts)])
         self.codes = np.concatenate(codes)
         self.per_row = np.array(there, np.int64)
         self.row = np.repeat(np.arange(len(there)), self.per_row)
 
-    def _add(self, segments: list[str], script: str, language: str | None) -> None:
-        self.segments += segments
-        self.keys.append((script, language, len(segments)))
-
     @cached_property
     def facts(self) -> list[tuple]:
-        out: list[tuple] = []
-        for script, language, n in self.keys:
-            out += self.engine.facts(self.segments[len(out) : len(out) + n], script, language)
-        return out
+        return [f for script, language, table, _ in self.parts for f in self.engine.facts(table.to_pylist(), script, language)]
+
+    def _plain(self, script: str, language: str | None, table: pa.Array, controlled: np.ndarray | None) -> np.ndarray:
+        """Which of the segments are words of ASCII, of which only lower case may make something else."""
+        if controlled is None or self.engine.normalizer.by_character(script, language) is None:
+            return np.zeros(len(table), bool)
+        size = pc.binary_length(table).to_numpy()
+        plain = (size == pc.utf8_length(table).to_numpy()) & (size > 2)  # all shorter ones may be separators
+        plain[controlled] = False
+        if stops := self.engine.config.stop_words:
+            plain &= ~pc.is_in(table, pa.array(list(stops), pa.string())).to_numpy(zero_copy_only=False)
+        return plain
+
+    @cached_property
+    def normalized(self) -> tuple[pa.Array, np.ndarray]:
+        """Of each row of the table its lemma and the number of its kind."""
+        lemmas: list[pa.Array] = [pa.array([], pa.string())]
+        kinds: list[np.ndarray] = [np.empty(0, np.int32)]
+        for script, language, table, controlled in self.parts:
+            plain = self._plain(script, language, table, controlled)
+            rest, kind = np.flatnonzero(~plain), np.zeros(len(table), np.int32)
+            facts = self.engine.facts(table.take(pa.array(rest)).to_pylist(), script, language)
+            kind[rest] = [f[1] for f in facts]
+            words = table.filter(pa.array(plain))
+            if self.engine.config.lossy and script in core.CASED:
+                words = pc.ascii_lower(words)
+            order = np.empty(len(table), np.int32)
+            order[plain], order[rest] = np.arange(len(words)), len(words) + np.arange(len(rest))
+            lemmas.append(pa.concat_arrays([words, pa.array([f[0] for f in facts], pa.string())]).take(pa.array(order)))
+            kinds.append(kind)
+        return pa.concat_arrays(lemmas), np.concatenate(kinds)
 
     @cached_property
     def kinds(self) -> np.ndarray:
         """Of each token the number of its kind."""
-        return np.array([f[1] for f in self.facts], np.int32)[self.codes]
+        return self.normalized[1][self.codes]
 
     @cached_property
     def originals(self) -> pa.Array:
@@ -214,23 +243,18 @@ class _Coded:
         per_row = np.bincount(self.row[hard], minlength=len(self.per_row)) + 1
         return (np.cumsum(hard) + self.row)[self.words], int(per_row.sum()), per_row
 
-    def lemmas(self, ids: dict[str, int]) -> np.ndarray:
-        """Of each word the number of its lemma in ids, which grows."""
-        table = np.array([ids.setdefault(f[0], len(ids)) if not f[1] else 0 for f in self.facts], np.int64)
-        return table[self.codes[self.words]]
-
 
 def _lemmas(engine: core.Engine, texts: list[str | None]) -> pa.Array:
     t = _Coded(engine, texts)
     counts = np.bincount(t.row[t.words], minlength=len(t.per_row)).tolist()
-    return _list(_with_nulls(texts, counts), pa.array([f[0] for f in t.facts], pa.string()).take(pa.array(t.codes[t.words])))
+    return _list(_with_nulls(texts, counts), t.normalized[0].take(pa.array(t.codes[t.words])))
 
 
 def _contexts(engine: core.Engine, texts: list[str | None]) -> pa.Array:
     """Of each text the lemmas of its words, listed by the hard separators between them."""
     t = _Coded(engine, texts)
     context, n, per_row = t.contexts
-    lemmas = pa.array([f[0] for f in t.facts], pa.string()).take(pa.array(t.codes[t.words]))
+    lemmas = t.normalized[0].take(pa.array(t.codes[t.words]))
     return _list(_with_nulls(texts, per_row.tolist()), _list(np.bincount(context, minlength=n).tolist(), lemmas))
 
 
@@ -241,10 +265,10 @@ def _context_sizes(engine: core.Engine, texts: list[str | None]) -> pa.Array:
 
 def _lemma_counts(engine: core.Engine, texts: list[str | None]) -> pa.Array:
     t = _Coded(engine, texts)
-    ids: dict[str, int] = {}
-    found, n = np.unique(t.row[t.words] << 32 | t.lemmas(ids), return_counts=True)
+    coded = t.normalized[0].dictionary_encode()
+    found, n = np.unique(t.row[t.words] << 32 | coded.indices.to_numpy()[t.codes[t.words]], return_counts=True)
     counts = np.bincount(found >> 32, minlength=len(t.per_row)).tolist()
-    lemmas = pa.array(list(ids), pa.string()).take(pa.array(found & 0xFFFFFFFF))
+    lemmas = coded.dictionary.take(pa.array(found & 0xFFFFFFFF))
     return _list(_with_nulls(texts, counts), pa.StructArray.from_arrays([lemmas, pa.array(n.astype(np.int64))], names=["lemma", "n"]))
 
 
@@ -269,13 +293,13 @@ def _tokens(engine: core.Engine, texts: list[str | None], normalized: bool = Tru
         return _char_maps([f[2] for f in t.facts]).take(pa.array(t.codes))
 
     def key(i: int) -> pa.Array:
-        number = np.repeat(np.arange(len(t.keys), dtype=np.int32), [k[2] for k in t.keys])
-        return pa.array([k[i] for k in t.keys], pa.string()).take(pa.array(number[t.codes]))
+        number = np.repeat(np.arange(len(t.parts), dtype=np.int32), [len(part[2]) for part in t.parts])
+        return pa.array([part[i] for part in t.parts], pa.string()).take(pa.array(number[t.codes]))
 
     make: dict[str, Callable[[], pa.Array]] = {
         "kind": lambda: _kind_names(t.kinds)[0] if normalized else _repeated("unknown", n),
         "separator_kind": lambda: _kind_names(t.kinds)[1] if normalized else pa.nulls(n, pa.string()),
-        "lemma": lambda: pa.array([f[0] for f in t.facts], pa.string()).take(pa.array(t.codes)) if normalized else t.originals,
+        "lemma": lambda: t.normalized[0].take(pa.array(t.codes)) if normalized else t.originals,
         **{name: lambda name=name: ends(name) for name in ("char_start", "char_end", "byte_start", "byte_end")},
         "char_map": char_map,
         "script": lambda: key(0),
@@ -468,14 +492,15 @@ class Tokenizer:
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             engine = core.engine(config)
-            ids: dict[str, int] = {}
+            tables_: list[pa.Array] = []
             span: list[tuple[np.ndarray, ...]] = []
-            rows = words = contexts = 0
+            rows = words = contexts = size = 0
 
             def summed() -> Iterator[pa.Array]:
                 lemma, context, text = (np.concatenate(x) for x in zip(*span, strict=True))
-                columns, n = count(lemma, context, text)
-                lemmas = pa.array(list(ids), pa.string())
+                coded = pa.concat_arrays(tables_).dictionary_encode()
+                columns, n = count(coded.indices.to_numpy()[lemma], context, text)
+                lemmas = coded.dictionary
                 lengths = pc.utf8_length(lemmas).to_numpy()
                 shares = np.linspace(0, len(n), rows + 1).astype(np.int64)
                 for begin, end in _cuts(np.diff(shares), 1 << 16):
@@ -489,13 +514,14 @@ class Tokenizer:
                 for part in _pieces(b):
                     t = _Coded(engine, part)
                     context, n, per_row = t.contexts
-                    span.append((t.lemmas(ids).astype(np.int32), (context + contexts).astype(np.int32), (t.row[t.words] + rows).astype(np.int32)))
-                    words, contexts, rows = words + len(context), contexts + n, rows + len(part)
+                    tables_.append(t.normalized[0])
+                    span.append(((t.codes[t.words] + size).astype(np.int32), (context + contexts).astype(np.int32), (t.row[t.words] + rows).astype(np.int32)))
+                    words, contexts, rows, size = words + len(context), contexts + n, rows + len(part), size + len(t.table)
                     if words > most:
                         yield from summed()
                         pa.default_memory_pool().release_unused()
-                        ids.clear(), span.clear()
-                        rows = words = contexts = 0
+                        tables_.clear(), span.clear()
+                        rows = words = contexts = size = 0
             if rows:
                 yield from summed()
 

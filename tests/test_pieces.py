@@ -21,6 +21,7 @@ CONFIGS = [
     TokenizerConfig(),
     TokenizerConfig(create_char_map=True, stop_words=frozenset({"of"})),
     TokenizerConfig(lossy=False),
+    TokenizerConfig(stop_words=frozenset({"The", "über", "a.b"})),
     TokenizerConfig(allow_list=("deu",)),
     TokenizerConfig(allow_list=("eng", "deu", "cmn")),
     TokenizerConfig(camel_case=True),
