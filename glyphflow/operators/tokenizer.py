@@ -358,12 +358,16 @@ Count = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[list[np.ndarray], n
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows and how often each stands there, two columns at a time."""
-    found, at, n = np.unique(columns[0], return_inverse=True, return_counts=True)
-    rows = [found]
-    for c in columns[1:]:
-        found, at, n = np.unique(at.astype(np.int64) << 32 | c, return_inverse=True, return_counts=True)
-        rows = [r[found >> 32] for r in rows] + [found & 0xFFFFFFFF]
+    """Distinct rows and how often each stands there; the first two columns as one number, then one more at a time."""
+    if len(columns) == 1:
+        found, n = np.unique(columns[0], return_counts=True)
+        return [found], n
+    number, rows = columns[0].astype(np.int64), [columns[0]]
+    for k, c in enumerate(columns[1:], 2):
+        found, *at, n = np.unique(number << 32 | c, return_inverse=k < len(columns), return_counts=True)
+        first = found >> 32
+        rows = [first if k == 2 else r[first] for r in rows] + [found & 0xFFFFFFFF]
+        number = at[0].astype(np.int64) if at else found
     return rows, n
 
 
