@@ -132,16 +132,19 @@ def _runs(engine: core.Engine, texts: list[str]) -> Iterator[_Run | list[tuple[l
 
 def _strings(engine: core.Engine, texts: list[str | None]) -> pa.Array:
     there: list[int] = []
-    values: list[pa.Array] = [pa.array([], pa.string())]
+    values: list[pa.Array] = []
+    flat: list[str] = []  # of texts one by one, since the last that were split together
     for run in _runs(engine, [t for t in texts if t is not None]):
         if isinstance(run, _Run):
             there += run.counts.tolist()
-            values.append(run.values)
+            values += [pa.array(flat, pa.string()), run.values]
+            flat = []
         else:
-            flat = [p for parts, _, _ in run for p in parts]
-            there.append(len(flat))
-            values.append(pa.array(flat, pa.string()))
-    return _list(_with_nulls(texts, there), pa.concat_arrays(values))
+            before = len(flat)
+            for parts, _, _ in run:
+                flat += parts
+            there.append(len(flat) - before)
+    return _list(_with_nulls(texts, there), pa.concat_arrays([*values, pa.array(flat, pa.string())]))
 
 
 def _with_nulls(texts: list[str | None], there: list[int]) -> list[int | None]:
