@@ -37,7 +37,7 @@ def document_frequency(texts: DataFrame, text_col: str = "text", tokenizer: Toke
 
 def ngram_counts(texts: DataFrame, n: int = 2, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
     """gram, n: runs of n words of one text, counted over spans of texts."""
-    counts = texts.select(F.inline((tokenizer or Tokenizer()).gram_counts(text_col, n))).select("key", "n")
+    counts = texts.select(F.inline((tokenizer or Tokenizer()).gram_counts(text_col, n)))
     return counts.repartition("key").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
 
 
@@ -50,8 +50,10 @@ def context_lengths(texts: DataFrame, by: tuple[str, ...], text_col: str = "text
 def proximity(texts: DataFrame, within: int = 3, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
     """first, second, n: word pairs at most within words apart in one context, counted over spans of texts."""
     counts = texts.select(F.inline((tokenizer or Tokenizer()).near_counts(text_col, within))).repartition("key")
-    first, second = F.substring("key", F.lit(1), F.col("at")), F.substring("key", F.col("at") + 1, F.char_length("key"))
-    return counts.groupBy("key", "at").agg(F.sum("n").alias("n")).select(first.alias("first"), second.alias("second"), "n")
+    told = F.substring_index("key", ":", 1)
+    begin, size = F.char_length(told) + 2, told.cast("int")
+    first, second = F.substring("key", begin, size), F.substring("key", begin + size, F.char_length("key"))
+    return counts.groupBy("key").agg(F.sum("n").alias("n")).select(first.alias("first"), second.alias("second"), "n")
 
 
 def tf_idf(texts: DataFrame, id_col: str, text_col: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:

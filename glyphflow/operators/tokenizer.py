@@ -27,7 +27,7 @@ from ..config import TokenizerBuilder, TokenizerConfig
 PIECE = 1 << 20
 
 #: Words over which counts are summed before they leave the worker.
-SPAN = 1 << 21
+SPAN = 1 << 22
 
 
 def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -356,15 +356,25 @@ def _normalized(engine: core.Engine, rows: pa.ListArray) -> pa.Array:
 
 # -- counts over many texts
 
-#: Of the words of a span, their contexts and texts: columns of lemmas' numbers that stand together, and how often they do.
-Count = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[list[np.ndarray], np.ndarray]]
+#: Of the words of a span and their contexts or texts: columns of lemmas' numbers that stand together, and how often they do.
+Count = Callable[[np.ndarray, np.ndarray], tuple[list[np.ndarray], np.ndarray]]
+
+
+def _counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers and how often each stands there; sorts them in place."""
+    numbers.sort()
+    at = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])[: len(numbers)])
+    return numbers[at], np.diff(at, append=len(numbers))
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows and how often each stands there; the first two columns as one number, then one more at a time."""
     if len(columns) == 1:
-        found, n = np.unique(columns[0], return_counts=True)
+        found, n = _counted(columns[0])
         return [found], n
+    if len(columns) == 2:
+        found, n = _counted(columns[0].astype(np.int64) << 32 | columns[1])
+        return [found >> 32, found & 0xFFFFFFFF], n
     number, rows = columns[0].astype(np.int64), [columns[0]]
     for k, c in enumerate(columns[1:], 2):
         found, *at, n = np.unique(number << 32 | c, return_inverse=k < len(columns), return_counts=True)
@@ -375,19 +385,21 @@ def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _near(within: int) -> Count:
-    def count(lemma: np.ndarray, context: np.ndarray, _: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    def count(lemma: np.ndarray, context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         pairs = []
         for d in range(1, within + 1):
             same = context[d:] == context[:-d]
-            pairs.append(lemma[:-d][same].astype(np.int64) << 32 | lemma[d:][same])
-        found, n = np.unique(np.concatenate(pairs), return_counts=True)
-        return [found >> 32, found & 0xFFFFFFFF], n
+            pairs.append(lemma[:-d][same].astype(np.int64))
+            pairs[-1] <<= 32
+            pairs[-1] |= lemma[d:][same]
+        found, n = _counted(np.concatenate(pairs))
+        return [(found >> 32).astype(np.int32), found.astype(np.int32)], n
 
     return count
 
 
 def _grams(size: int) -> Count:
-    def count(lemma: np.ndarray, _: np.ndarray, text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    def count(lemma: np.ndarray, text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         last = len(lemma) - size + 1
         if last <= 0:
             return [np.empty(0, np.int64)] * size, np.empty(0, np.int64)
@@ -397,8 +409,8 @@ def _grams(size: int) -> Count:
     return count
 
 
-def _in_texts(lemma: np.ndarray, _: np.ndarray, text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    found, n = np.unique(np.unique(text.astype(np.int64) << 32 | lemma) & 0xFFFFFFFF, return_counts=True)
+def _in_texts(lemma: np.ndarray, text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    found, n = _counted(_counted(text.astype(np.int64) << 32 | lemma)[0] & 0xFFFFFFFF)
     return [found], n
 
 
@@ -489,63 +501,70 @@ class Tokenizer:
         """array<struct<lemma, n>>: the text's distinct word lemmas and how often each stands in it."""
         return self._column(_lemma_counts, schema.COUNTS, text)
 
-    def _summed(self, count: Count, text: Column | str, between: str = "", most: int = SPAN) -> Column:
-        """array<struct<key, at, n>>: counts over spans of texts, dealt out to the rows of the span in shares.
+    def _summed(self, count: Count, text: Column | str, between: str | None = None, contexts: bool = False, most: int = SPAN) -> Column:
+        """array<struct<key, n>>: counts over spans of texts or contexts, dealt out to the rows of the span in shares.
 
-        key has the lemmas, joined by between, and at the length of the first in characters. Only sums
-        over all rows mean something: what a worker meets again and again leaves it once a span.
+        key has the lemmas joined by between; without it, the length of the first in characters and a
+        colon stand before them. Only sums over all rows mean something: what a worker meets again and
+        again leaves it once a span.
         """
         config = self.config
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             engine = core.engine(config)
             tables_: list[pa.Array] = []
-            span: list[tuple[np.ndarray, ...]] = []
-            rows = words = contexts = size = 0
+            span: list[tuple[np.ndarray, np.ndarray]] = []
+            rows = words = within = size = 0
 
             def summed() -> Iterator[pa.Array]:
-                lemma, context, text = (np.concatenate(x) for x in zip(*span, strict=True))
                 coded = pa.concat_arrays(tables_).dictionary_encode()
-                columns, n = count(coded.indices.to_numpy()[lemma], context, text)
-                lemmas = coded.dictionary
-                lengths = pc.utf8_length(lemmas).to_numpy()
+                lemma, place = (np.concatenate(x) for x in zip(*span, strict=True))
+                tables_.clear(), span.clear()
+                # numbered in their order, as rows that begin alike take less room in a shuffle
+                order = pc.array_sort_indices(coded.dictionary)
+                rank = np.empty(len(order), np.int32)
+                rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+                columns, n = count(rank[coded.indices.to_numpy()[lemma]], place)
+                del lemma, place
+                first = lemmas = coded.dictionary.take(order)
+                if between is None and len(columns) > 1:
+                    first = pc.binary_join_element_wise(pc.cast(pc.utf8_length(lemmas), pa.string()), lemmas, ":")
                 shares = np.linspace(0, len(n), rows + 1).astype(np.int64)
                 for begin, end in _cuts(np.diff(shares), 1 << 16):
                     a, b = shares[begin], shares[end]
-                    told = [lemmas.take(pa.array(c[a:b])) for c in columns]
-                    key = pc.binary_join_element_wise(*told, between) if len(told) > 1 else told[0]
-                    flat = pa.StructArray.from_arrays([key, pa.array(lengths[columns[0][a:b]]), pa.array(n[a:b].astype(np.int64))], names=["key", "at", "n"])
+                    told = [(lemmas if k else first).take(pa.array(c[a:b])) for k, c in enumerate(columns)]
+                    key = pc.binary_join_element_wise(*told, between or "") if len(told) > 1 else told[0]
+                    flat = pa.StructArray.from_arrays([key, pa.array(n[a:b].astype(np.int64))], names=["key", "n"])
                     yield _list(np.diff(shares[begin : end + 1]).tolist(), flat)
 
             for b in batches:
                 for part in _pieces(b):
                     t = _Coded(engine, part)
-                    context, n, per_row = t.contexts
+                    place, n, _ = t.contexts if contexts else (t.row[t.words], len(part), None)
                     tables_.append(t.normalized[0])
-                    span.append(((t.codes[t.words] + size).astype(np.int32), (context + contexts).astype(np.int32), (t.row[t.words] + rows).astype(np.int32)))
-                    words, contexts, rows, size = words + len(context), contexts + n, rows + len(part), size + len(t.table)
+                    span.append(((t.codes[t.words] + size).astype(np.int32), (place + within).astype(np.int32)))
+                    words, within, rows, size = words + len(place), within + n, rows + len(part), size + len(t.table)
                     if words > most:
                         yield from summed()
                         pa.default_memory_pool().release_unused()
-                        tables_.clear(), span.clear()
-                        rows = words = contexts = size = 0
+                        rows = words = within = size = 0
             if rows:
                 yield from summed()
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        kind = T.ArrayType(T.StructType([T.StructField("key", T.StringType(), False), T.StructField("at", T.IntegerType(), False), T.StructField("n", T.LongType(), False)]), False)
+        kind = T.ArrayType(T.StructType([T.StructField("key", T.StringType(), False), T.StructField("n", T.LongType(), False)]), False)
         return F.arrow_udf(run, kind)(F.col(text) if isinstance(text, str) else text)
 
     def near_counts(self, text: Column | str, within: int) -> Column:
-        """array<struct<key, at, n>>: pairs of words at most within apart in a context, summed as in _summed."""
-        return self._summed(_near(within), text)
+        """array<struct<key, n>>: pairs of words at most within apart in a context, summed as in _summed."""
+        return self._summed(_near(within), text, contexts=True)
 
     def gram_counts(self, text: Column | str, size: int) -> Column:
-        """array<struct<key, at, n>>: runs of so many words of a text, summed as in _summed."""
+        """array<struct<key, n>>: runs of so many words of a text, summed as in _summed."""
         return self._summed(_grams(size), text, " ")
 
     def text_counts(self, text: Column | str) -> Column:
-        """array<struct<key, at, n>>: texts that have a word, summed as in _summed."""
+        """array<struct<key, n>>: texts that have a word, summed as in _summed."""
         return self._summed(_in_texts, text)
 
     def normalize_text(self, text: Column | str) -> Column:

@@ -105,9 +105,10 @@ def test_counts_over_spans(spark, span):
     near, grams, df = brute(rows, 3, 3)
     for f, want in ((op._near(3), near), (op._grams(3), grams), (op._in_texts, df)):
         got: Counter = Counter()
-        column = t._summed(f, "text", " " if want is grams else "", span)
+        column = t._summed(f, "text", " " if want is grams else None, want is near, span)
         for r in texts.select(F.inline(column)).collect():
-            got[(r["key"][: r["at"]], r["key"][r["at"] :]) if want is near else r["key"]] += r["n"]
+            size, _, key = r["key"].partition(":") if want is near else ("0", "", r["key"])
+            got[(key[: int(size)], key[int(size) :]) if want is near else key] += r["n"]
         assert got == want
     assert {(r["first"], r["second"]): r["n"] for r in analytics.proximity(texts, 3).collect()} == near
     assert {r["gram"]: r["n"] for r in analytics.ngram_counts(texts, 3).collect()} == grams
